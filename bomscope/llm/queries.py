@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .line_dedup import op9_line_dedup
 from .packing import op4_packing
 from .shards import op3_shards
 from .tree_bpe import op7_tree_bpe
@@ -10,7 +11,7 @@ from .trie_join import op10_trie_join
 
 
 def queries() -> dict:
-    return {"op3_shards": op3_shards, "op4_packing": op4_packing, "op6_exact_dedup": op6_exact_dedup, "op7_tree_bpe": op7_tree_bpe, "op10_trie_join": op10_trie_join}
+    return {"op3_shards": op3_shards, "op4_packing": op4_packing, "op6_exact_dedup": op6_exact_dedup, "op7_tree_bpe": op7_tree_bpe, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
 
 
 def oracle_sql() -> dict[str, str]:
