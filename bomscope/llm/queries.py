@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import OP1_SQL, op1_embedding_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .line_dedup import op9_line_dedup
 from .packing import op4_packing
@@ -11,8 +12,8 @@ from .trie_join import op10_trie_join
 
 
 def queries() -> dict:
-    return {"op3_shards": op3_shards, "op4_packing": op4_packing, "op6_exact_dedup": op6_exact_dedup, "op7_tree_bpe": op7_tree_bpe, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
+    return {"op1_embedding_dedup": op1_embedding_dedup, "op3_shards": op3_shards, "op4_packing": op4_packing, "op6_exact_dedup": op6_exact_dedup, "op7_tree_bpe": op7_tree_bpe, "op9_line_dedup": op9_line_dedup, "op10_trie_join": op10_trie_join}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
