@@ -1,8 +1,9 @@
 """Training-order materialisation: every sequence gets a global slot by a keyed permutation, and shards hold slot ranges.
 
 Layout of a shard: records of one stride, each an id (int64), the part's number (uint32), the number of its tokens
-(uint32), seq_len uint16 ids (unused ones 65535) and a newline. So record k of shard s is slot s * shard_size + k at byte
-k * stride: a reader seeks there and goes on, a broken-off one too. Spark's text writer commits the files, on any store.
+(uint32), seq_len uint16 ids (unused ones 65535) and a newline. A shard's first slot is the number of records in the
+shards before it, by their file sizes, and its record k stands at byte k * stride: a reader seeks there and goes on, a
+broken-off one too. Spark's text writer commits the files, on any store.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash, table, texts
-from .packing import id_words
+from .common import shared_dir, table, texts
+from .packing import encoding
 
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u4")])
 NO_ID = -(2**63)
@@ -49,71 +51,75 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = F
     return out.astype(np.int64)
 
 
-def _cut(pdf: pd.DataFrame, words, seq_len: int, end: bytes) -> list[tuple[int, int, bytes]]:
-    step = 2 * seq_len
-    out = []
-    for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
-        ids = b"".join(words.parts(text)) + end
-        doc_id = NO_ID if pd.isna(doc_id) else int(doc_id)
-        out += [(doc_id, k, ids[a : a + step]) for k, a in enumerate(range(0, len(ids), step))]
-    return out
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    return encoding(path).encode_ordinary
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int = 512, shard_size: int = 8192, key: int = 20_240_501, end_id: int = 50_256) -> int:
-    """Write the shards under path; the number of sequences.
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int = 512, shard_bytes: int = 16 << 20, key: int = 20_240_501, end_id: int = 50_256) -> int:
+    """Write the shards under path; how many there are.
 
-    A document is its ids and the end id, cut every seq_len tokens; a null or empty text is the end id alone. The ids are
-    computed twice: once to count the sequences of each task's share of the input, which gives every sequence its number
-    and the permutation its domain, and once to deal them out. That is less than writing and shuffling them once more. A
-    share that differs in the second pass fails the job instead of writing a wrong order.
+    A document is its ids and the end id, cut every seq_len tokens; a null or empty text is the end id alone. Part k of
+    document d of D (numbered by each task's share of the input) has the number k * D + d. The permutation of all such
+    numbers, up to the most parts that the longest text can have, gives it a place; shards are equal ranges of places, and
+    a sequence's global slot is its rank among the places taken. So one pass over the texts suffices, and nobody need know
+    the number of sequences before. A share that differs between the count of its documents and the pass fails the job
+    instead of writing a wrong order.
     An empty table writes no shard. Repeated rows and null ids are written each for itself. Other columns are ignored.
     """
     rows = texts(docs)
-    end = np.array([end_id], dtype="<u2").tobytes()
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, n, first = id_words(tokenizer_path, "<u2"), 0, 0
-        for pdf in batches:
-            cut = _cut(pdf, words, seq_len, end)
-            first = zlib.crc32(b"".join(b.to_bytes(8, "little", signed=True) for b, k, _ in cut if not k), first)
-            n += len(cut)
-        yield pd.DataFrame({"share": [TaskContext.get().partitionId()], "n": [n], "ids": [first]})
-
-    shares = stash(rows.mapInPandas(count, "share int, n long, ids long"), "shares").toPandas().sort_values("share")  # a row a task
-    total = int(shares["n"].sum())
-    if not total:
+    mark = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0))
+    size = F.octet_length("text").cast("long")
+    shares = rows.groupBy(F.spark_partition_id().alias("share")).agg(F.count("*").alias("n"), F.sum(mark).alias("ids"), F.sum(size).alias("bytes"), F.max(size).alias("longest"))
+    shares = shares.toPandas().sort_values("share")  # a row a task
+    if not len(shares):
         return 0
+    count = int(shares["n"].sum())
+    places = count * -(-(int(shares["longest"].max()) + 1) // seq_len)  # a text has no more tokens than bytes
+    n_shards = min(count, -(-int(shares["bytes"].sum() + count) // shard_bytes))
+    width = -(-places // n_shards)
     base = dict(zip(shares["share"].tolist(), (shares["n"].cumsum() - shares["n"]).tolist(), strict=True))
     known = dict(zip(shares["share"].tolist(), zip(shares["n"].tolist(), shares["ids"].tolist(), strict=True), strict=True))
+    end = np.array([end_id], dtype="<u2").tobytes()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, n, first, squeeze = id_words(tokenizer_path, "<u2"), 0, 0, zstandard.ZstdCompressor(level=1).compress
-        share = TaskContext.get().partitionId()
+        encode, squeeze = encoder(tokenizer_path), zstandard.ZstdCompressor(level=1).compress
+        share, n, ids = TaskContext.get().partitionId(), 0, 0
         for pdf in batches:
-            cut = _cut(pdf, words, seq_len, end)
-            first = zlib.crc32(b"".join(b.to_bytes(8, "little", signed=True) for b, k, _ in cut if not k), first)
-            slot = feistel(base[share] + n + np.arange(len(cut)), total, key)
-            n += len(cut)
-            head = np.array([(i, k, len(b) // 2) for i, k, b in cut], dtype=HEAD)
-            yield pd.DataFrame({"shard": (slot // shard_size).astype(np.int32), "slot": slot, "record": [squeeze(head[j].tobytes() + b) for j, (_, _, b) in enumerate(cut)]})
-        if (n, first) != known[share]:
-            raise RuntimeError(f"share {share} of the input changed between the passes")
+            head, part, number = [], [], []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                null = pd.isna(doc_id)
+                ids += 0 if null else zlib.crc32(str(int(doc_id)).encode())
+                tokens = np.asarray(encode(text), dtype="<u2").tobytes() + end
+                for k, a in enumerate(range(0, len(tokens), 2 * seq_len)):
+                    part.append(tokens[a : a + 2 * seq_len])
+                    head.append((NO_ID if null else int(doc_id), k, len(part[-1]) // 2))
+                    number.append(k * count + base[share] + n)
+                n += 1
+            place = feistel(np.array(number, dtype=np.uint64), places, key)
+            raw = np.array(head, dtype=HEAD)
+            yield pd.DataFrame({"shard": (place // width).astype(np.int32), "place": place, "record": [squeeze(raw[j].tobytes() + x) for j, x in enumerate(part)]})
+        if (n, ids) != known.get(share, (0, 0)):
+            raise RuntimeError(f"share {share} of the input changed after it was counted")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, open_up = HEAD.itemsize + 2 * seq_len, zstandard.ZstdDecompressor().decompress
+        full, open_up = HEAD.itemsize + 2 * seq_len, zstandard.ZstdDecompressor().decompress
         for pdf in batches:
-            yield pd.DataFrame({"shard": pdf["shard"], "value": [open_up(x).ljust(size, b"\xff") for x in pdf["record"]]})
+            yield pd.DataFrame({"shard": pdf["shard"], "value": [open_up(x).ljust(full, b"\xff") for x in pdf["record"]]})
 
-    dealt = rows.mapInPandas(deal, "shard int, slot long, record binary")
-    dealt = dealt.repartitionById(-(-total // shard_size), "shard").sortWithinPartitions("shard", "slot")
+    dealt = rows.mapInPandas(deal, "shard int, place long, record binary")
+    dealt = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "place")
     dealt.mapInPandas(fill, "shard int, value binary").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
-    return total
+    return n_shards
 
 
-def read_shards(spark: SparkSession, path: str, seq_len: int = 512, shard_size: int = 8192, with_ids: bool = True) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, seq_len: int = 512, with_ids: bool = True) -> DataFrame:
     """Per record: slot, shard, doc_id, part, n_tokens, ids_crc32 (of the uint16 ids) and the ids."""
     stride = HEAD.itemsize + 2 * seq_len + 1
     kind = np.dtype([("head", HEAD), ("ids", "<u2", (seq_len,)), ("end", "u1")])
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    sizes = found.select("shard", "length").toPandas().sort_values("shard")  # a row a shard; the content isn't read
+    base = dict(zip(sizes["shard"].tolist(), ((sizes["length"].cumsum() - sizes["length"]) // stride).tolist(), strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -124,11 +130,10 @@ def read_shards(spark: SparkSession, path: str, seq_len: int = 512, shard_size:
                 n = got["head"]["n_tokens"]
                 doc_id = pd.Series(got["head"]["doc_id"], dtype="Int64").mask(got["head"]["doc_id"] == NO_ID)
                 ids = [x[:k] for x, k in zip(got["ids"], n.tolist(), strict=True)]
-                out = {"slot": shard * shard_size + np.arange(len(got)), "shard": shard, "doc_id": doc_id, "part": got["head"]["part"].astype(np.int32), "n_tokens": n.astype(np.int32), "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
+                out = {"slot": base[shard] + np.arange(len(got)), "shard": shard, "doc_id": doc_id, "part": got["head"]["part"].astype(np.int32), "n_tokens": n.astype(np.int32), "ids_crc32": [zlib.crc32(x.tobytes()) for x in ids]}
                 yield pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in ids]} if with_ids else {}))
 
     schema = "slot long, shard int, doc_id long, part int, n_tokens int, ids_crc32 long" + ", ids array<int>" * with_ids
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return found.select("shard", "content").mapInPandas(run, schema)
 
 
