@@ -24,6 +24,8 @@ SENT_KEYS = 2_000_000
 
 #: compare(data, side, known): pairs (i, j) that link directly; known[i] == known[j] or equal sides >= 0 need no answer.
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int]]]
+#: may(sketches, side, known): which members could link with another that isn't known to be connected.
+May = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 def only(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
@@ -45,10 +47,26 @@ def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Com
     return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long")
 
 
-def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK) -> DataFrame:
+def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may: May | None, tag: str) -> DataFrame:
+    """members without those that, by their sketches, can't link with another of their block."""
+    if sketches is None:
+        return members
+
+    def run(g: pd.DataFrame) -> pd.DataFrame | None:
+        if len(g) < 2:
+            return None
+        own = may(g["sketch"].tolist(), g["side"].to_numpy(), g["known"].to_numpy())
+        return g.loc[own, [*keys, "id", "side", "known"]] if own.any() else None
+
+    schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in (*keys, "id", "side", "known"))
+    return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema), tag)
+
+
+def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None) -> DataFrame:
     """entries(bucket long, id long, repeats allowed) -> (id, component) of ids with at least one link.
 
-    payload_of(ids) gives (id, data) of a table of ids. Buckets with the same members are compared once.
+    payload_of(ids) gives (id, data) of a table of ids. Buckets with the same members are compared once. With sketches
+    (id, sketch) and may(), the data of a member is only fetched where its sketch leaves a link possible.
     """
     spread = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     shared = stash(spread.select("bucket"), "shared")
@@ -58,11 +76,14 @@ def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], com
     alike = stash(alike.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "buckets")
     members_of = members.join(alike, "bucket").withColumn("part", F.pmod(F.xxhash64("id", "bucket"), "blocks").cast("int"))
     chosen = stash(members_of.select("bucket", "blocks", "part", "id"), "chosen")
-    ids = stash(chosen.select("id").distinct(), "ids")
-    payload = stash(payload_of(ids), "payload")
-    discard(members, shared)
+    discard(members, shared, alike)
+
+    def fetch(rows: DataFrame) -> DataFrame:
+        return stash(payload_of(stash(rows.select("id").distinct(), "ids")), "payload")
+
     first = chosen.select("bucket", "part", "id", F.lit(-1).alias("side"), F.col("id").alias("known"))
-    edges = stash(_edges(first, payload, ["bucket", "part"], compare), "links")
+    first = _able(first, sketches, ["bucket", "part"], may, "able")
+    edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare), "links")
     found = components(edges)
     split = chosen.where("blocks > 1")
     if split.isEmpty():
@@ -73,5 +94,7 @@ def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], com
     rest = known.join(stash(open_, "open"), "bucket", "left_semi")
     other = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> part")
     pairs = other.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", F.col("part").alias("side"), "known")
-    more = _edges(pairs, payload, ["bucket", "p", "q"], compare)
+    keys = ["bucket", "p", "q"]
+    pairs = _able(pairs, sketches, keys, may, "able")
+    more = _edges(pairs, fetch(pairs), keys, compare)
     return components(edges.unionByName(more))

@@ -3,6 +3,7 @@
 Global order of n-grams: those that stand in many documents last, else by hash; any order gives the same links, this one
 gives short lists. Documents with the same set are one class. A set's first |x| - ceil(0.8 |x|) + 1 n-grams are its
 prefix: two sets that link share one of them, so each shared prefix n-gram is a bucket. The sets of a bucket's block are
+first reduced to those that parities of n-gram counts leave a partner, a bound that loses no link, and then
 stored in a tree whose edges hold the n-grams in the global order; every set walks the tree, which counts the overlap of
 a shared path once, and leaves a subtree when the n-grams that remain on both sides can't reach the overlap needed.
 """
@@ -99,6 +100,39 @@ def compare_sets(data: list[bytes], side: np.ndarray, known: np.ndarray) -> list
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """The set's size and, for each of at least that many cells that n-grams are dealt to, whether it has an odd number of them."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.uint64(len(s)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(sketches: list[bytes], side: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Members with a partner that sizes and parities allow: each cell in which the parities differ holds an n-gram that
+    only one of the two has, and of |x| + |y| no more than a ninth may be such."""
+    size = np.array([int(np.frombuffer(x[:8], dtype=np.uint64)[0]) for x in sketches])
+    words = np.array([(len(x) - 8) // 8 for x in sketches])
+    own = np.zeros(len(sketches), dtype=bool)
+    cells = {w: np.array([np.frombuffer(sketches[i], dtype=np.uint64, offset=8) for i in np.flatnonzero(words == w)]) for w in np.unique(words).tolist()}
+    for w, x in cells.items():
+        a = np.flatnonzero(words == w)
+        for v, y in cells.items():
+            if v < w or v > 2 * w:  # sizes within 4 : 5 have as many cells or twice as many
+                continue
+            b = np.flatnonzero(words == v)
+            folded = y if v == w else y[:, :w] ^ y[:, w:]
+            for lo in range(0, len(a), 64):
+                i = a[lo : lo + 64]
+                differ = np.bitwise_count(x[lo : lo + 64, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = size[i][:, None] + size[b][None, :]
+                ok = (9 * differ <= total) & (5 * np.minimum(size[i][:, None], size[b][None, :]) >= 4 * np.maximum(size[i][:, None], size[b][None, :]))
+                ok &= known[i][:, None] != known[b][None, :]
+                ok &= (side[i][:, None] < 0) | (side[i][:, None] != side[b][None, :])
+                own[i] |= ok.any(axis=1)
+                own[b] |= ok.any(axis=0)
+    return own
+
+
 def _sets(pdf: pd.DataFrame, k: int) -> Iterator[tuple[object, np.ndarray]]:
     yield from zip(pdf["doc_id"].tolist(), (shingle_set(w, k) for w in word_hashes(pdf["text"].tolist())), strict=True)
 
@@ -147,16 +181,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
                 raw = s.tobytes()
                 sig = xxhash.xxh3_64_intdigest(raw, seed=digest_seed) - 2**63
                 n = len(s)
-                prefix = None
+                prefix = sketch = None
                 if n and sig not in seen and not pd.isna(doc_id):
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(sig)
                     prefix = ordered(s, last.value)[: n - -(-4 * n // 5) + 1].view(np.int64)
-                out.append((doc_id, n, sig, xxhash.xxh3_64_intdigest(raw, seed=digest_seed + 1) - 2**63, prefix))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "prefix"]).astype({"doc_id": "Int64"})
+                    sketch = parity(s)
+                out.append((doc_id, n, sig, xxhash.xxh3_64_intdigest(raw, seed=digest_seed + 1) - 2**63, prefix, sketch))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "prefix", "sketch"]).astype({"doc_id": "Int64"})
 
-    all_rows = stash(rows.mapInPandas(run, "doc_id long, n_shingles long, id long, check long, prefix array<long>"), "sets")
+    all_rows = stash(rows.mapInPandas(run, "doc_id long, n_shingles long, id long, check long, prefix array<long>, sketch binary"), "sets")
     marked = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = stash(marked.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")
     if not classes.where("c1 <> c2").isEmpty():
@@ -172,7 +207,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
         return only(rows, wanted, "doc_id").mapInPandas(full, "id long, data binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     entries = all_rows.where("prefix is not null").select(F.explode("prefix").alias("bucket"), "id")
-    found = linked(entries, payload_of, compare_sets)
+    sketches = all_rows.where("sketch is not null").select("id", "sketch").dropDuplicates(["id"])
+    found = linked(entries, payload_of, compare_sets, sketches=sketches, may=may_link)
     of_class = stash(classes.join(found, "id", "left").select("id", "low", F.coalesce("component", "id").alias("component")), "of_class")
     least = of_class.groupBy("component").agg(F.min("low").alias("least"))
     named = of_class.join(least, "component").select("id", "least")
