@@ -33,6 +33,11 @@ def only(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, col, "left_semi")
 
 
+def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """rows whose key isn't among the keys; the same two ways."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, col, "left_anti")
+
+
 def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame | None:
         if len(g) < 2:

@@ -6,6 +6,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,22 @@ def toxicity(docs: DataFrame, net: Net | None, name: str = "score") -> DataFrame
     return texts(docs).mapInPandas(run, f"doc_id long, {name} double")
 
 
+def clean(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The input's rows whose text scores below the threshold, all their columns as they are. A null text stays."""
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pickle.loads(model.value)
+        scorer = Scorer(got) if got else None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                said = part.column(part.schema.get_field_index(text_col)).to_pylist()
+                yield part.filter(pa.array(scorer.score([t or "" for t in said]) < threshold)) if scorer else part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
