@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,44 +54,53 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of equal keys from a sorted partition, one at a time, whatever the batch borders."""
-    held: list[pd.DataFrame] = []
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal keys from a sorted partition, one at a time as arrays by column, whatever the batch borders."""
+    held: list[dict[str, np.ndarray]] = []
     last = None
+    whole = lambda parts: parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
     for pdf in batches:
-        if not len(pdf):
+        n = len(pdf)
+        if not n:
             continue
-        k = pdf[keys].to_numpy()
-        cuts = [0, *((k[1:] != k[:-1]).any(axis=1).nonzero()[0] + 1), len(pdf)]
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+        change = np.zeros(n, dtype=bool)
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        cuts = [0, *change.nonzero()[0].tolist(), n]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(k[a])
-            if held and key != last:
-                yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            if a == 0:
+                key = tuple(cols[k][0] for k in keys)
+                if held and key != last:
+                    yield whole(held)
+                    held = []
+            elif held:
+                yield whole(held)
                 held = []
-            held.append(pdf.iloc[a:b])
-            last = key
+            held.append({c: v[a:b] for c, v in cols.items()})
+        last = tuple(cols[k][n - 1] for k in keys)
     if held:
-        yield held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        yield whole(held)
 
 
-def map_runs(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """fn over every group of equal (long, non-null) keys; cheaper than a grouped map when most groups are tiny.
+def map_runs(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """fn over every group of equal, non-null keys; cheaper than a grouped map when most groups are tiny.
 
-    Callers bound the size of a group beforehand.
+    fn gets the group's columns as arrays and returns columns. Callers bound the size of a group beforehand.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[pd.DataFrame] = []
+        out: list[dict[str, np.ndarray]] = []
         n = 0
         for group in runs(batches, keys):
             got = fn(group)
-            if got is not None and len(got):
+            if got is not None:
                 out.append(got)
-                n += len(got)
+                n += len(next(iter(got.values())))
             if n > 20_000:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({c: np.concatenate([g[c] for g in out]) for c in out[0]})
                 out, n = [], 0
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame({c: np.concatenate([g[c] for g in out]) for c in out[0]})
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, schema)

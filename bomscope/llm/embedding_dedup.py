@@ -113,9 +113,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
     sides = pairs.select("*", F.col("tile_a").alias("tile")).unionByName(pairs.where("tile_a <> tile_b").select("*", F.col("tile_b").alias("tile")))
     dealt = tiled.select("label", "dim", "tile", "key", "m", "embedding", "turned").join(sides, ["label", "dim", "tile"])
 
-    def match(g: pd.DataFrame) -> pd.DataFrame | None:
+    def match(g: dict) -> dict | None:
         """Of a pair of tiles: links counted for each vector, and a forest of them."""
-        own = (g["tile"] == g["tile_a"]).to_numpy()
+        own = g["tile"] == g["tile_a"]
         a = np.flatnonzero(own)
         b = a if own.all() else np.flatnonzero(~own)
         y = np.array(g["turned"].tolist())
@@ -131,17 +131,17 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
         i, j = i[link], j[link]
         if not len(i):
             return None
-        m, key = g["m"].to_numpy(), g["key"].to_numpy()
-        n = np.zeros(len(g), dtype=np.int64)
+        m, key = g["m"], g["key"]
+        n = np.zeros(len(m), dtype=np.int64)
         np.add.at(n, i, m[j])
         np.add.at(n, j, m[i])
-        sets, forest = Sets(len(g)), []
+        sets, forest = Sets(len(m)), []
         for p, q in zip(i.tolist(), j.tolist(), strict=True):
             if sets.join(p, q):
                 forest.append((p, q))
         has = np.flatnonzero(n)
         p, q = np.array(forest).T
-        return pd.DataFrame({"a": np.concatenate([key[has], key[p]]), "b": np.concatenate([key[has], key[q]]), "n": np.concatenate([n[has], np.zeros(len(p), dtype=np.int64)])})
+        return {"a": np.concatenate([key[has], key[p]]), "b": np.concatenate([key[has], key[q]]), "n": np.concatenate([n[has], np.zeros(len(p), dtype=np.int64)])}
 
     found = stash(map_runs(dealt, ["label", "dim", "tile_a", "tile_b"], match, "a long, b long, n long"), "found")
     counts = found.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +38,12 @@ def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
 
 
 def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame | None:
-        if len(g) < 2:
+    def run(g: dict) -> dict | None:
+        ids, side = g["id"], g["side"]
+        if len(ids) < 2 or side[0] >= 0 and (side == side[0]).all():
             return None
-        ids = g["id"].to_numpy()
-        side = g["side"].to_numpy()
-        if (side >= 0).any() and (side == side[0]).all():
-            return None
-        got = compare(g["data"].tolist(), side, g["known"].to_numpy())
-        return pd.DataFrame({"a": ids[[i for i, _ in got]], "b": ids[[j for _, j in got]]}) if got else None
+        got = compare(g["data"].tolist(), side, g["known"])
+        return {"a": ids[[i for i, _ in got]], "b": ids[[j for _, j in got]]} if got else None
 
     return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long")
 
@@ -57,11 +53,11 @@ def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may:
     if sketches is None:
         return members
 
-    def run(g: pd.DataFrame) -> pd.DataFrame | None:
-        if len(g) < 2:
+    def run(g: dict) -> dict | None:
+        if len(g["id"]) < 2:
             return None
-        own = may(g["sketch"].tolist(), g["side"].to_numpy(), g["known"].to_numpy())
-        return g.loc[own, [*keys, "id", "side", "known"]] if own.any() else None
+        own = may(g["sketch"].tolist(), g["side"], g["known"])
+        return {c: g[c][own] for c in (*keys, "id", "side", "known")} if own.any() else None
 
     schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in (*keys, "id", "side", "known"))
     return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema), tag)
