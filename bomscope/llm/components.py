@@ -82,5 +82,6 @@ def components(edges: DataFrame) -> DataFrame:
         label = up.join(later, "r", "left").select("id", F.coalesce("root", "r").alias("r"))
     label = stash(label, "labels")
     discard(e, *chain)
-    least = label.groupBy("r").agg(F.min("id").alias("component"))
+    # Written, so that the join deals both sides itself and Spark can split a root that very many ids share.
+    least = stash(label.groupBy("r").agg(F.min("id").alias("component")), "roots")
     return label.join(least, "r").select("id", "component")

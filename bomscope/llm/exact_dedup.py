@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
     digest = digest or (lambda c: F.unhex(F.sha2(c, 256)))
     rows = texts(docs).withColumn("digest", digest(F.col("text")))
     marks = stash(rows.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")), "digests")
-    many = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # Written, so that the join below deals both sides itself and Spark can split a digest that very many rows have.
+    many = stash(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "many")
     # The salt is part of the key's value: grouping by (digest, salt) could be served by the join's dealing by digest alone.
     # It is the number of the task, so that each task sends one row for each text, whatever number of copies it holds.
     salt = F.lpad(F.pmod(F.spark_partition_id(), F.lit(salts)).cast("string"), 4, "0")
