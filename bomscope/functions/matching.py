@@ -22,6 +22,11 @@ def _literal(values: list) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def match(norm: Column, synonyms: Mapping[str, list[str]], distance: int, rule, both_long: bool) -> Column:
     """struct(category, method, distance, synonym) of a normalised header; nulls with method none if nothing fits.
 
@@ -35,22 +40,25 @@ def match(norm: Column, synonyms: Mapping[str, list[str]], distance: int, rule,
     none = F.struct(F.lit(None).cast("string").alias("category"), F.lit("none").alias("method"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("synonym"))
     if not words:
         return none
-    exact = F.try_element_at(F.map_from_arrays(_literal(list(first)), _literal(list(first.values()))), norm)
+    place = F.map_from_arrays(_literal(list(first)), _literal(list(first.values())))
     near = [(w, i) for i, (_, w, _) in enumerate(words) if not both_long or len(w) >= FUZZY_LENGTH]
     listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for w, i in near])
-    apart = F.transform(listed, lambda s: F.struct(F.levenshtein(norm, s["w"], distance).alias("d"), s["i"].alias("i")))
-    fuzzy = F.array_min(F.filter(apart, lambda x: x["d"] >= 0))
-    fuzzy = F.when((F.length(norm) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), fuzzy)
-    hit = F.when(exact.isNotNull(), F.struct(F.lit(0).alias("d"), exact.alias("i"))).otherwise(fuzzy)
     categories, originals = _literal([c for c, _, _ in words]), _literal([o for _, _, o in words])
 
-    def named(h: Column) -> Column:
-        method = F.when(exact.isNotNull(), F.lit("exact")).otherwise(F.lit("fuzzy"))
-        found = F.struct(F.get(categories, h["i"]).alias("category"), method.alias("method"), h["d"].alias("distance"), F.get(originals, h["i"]).alias("synonym"))
-        return F.when(h.isNull() | norm.isNull() | (norm == ""), none).otherwise(found)
+    def nearest(h: Column) -> Column:
+        apart = F.transform(listed, lambda s: F.struct(F.levenshtein(h, s["w"], distance).alias("d"), s["i"].alias("i")))
+        return F.when((F.length(h) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), F.array_min(F.filter(apart, lambda x: x["d"] >= 0)))
+
+    def named(hit: Column, method: str) -> Column:
+        found = F.struct(F.get(categories, hit["i"]).alias("category"), F.lit(method).alias("method"), hit["d"].alias("distance"), F.get(originals, hit["i"]).alias("synonym"))
+        return F.when(hit["i"].isNull(), none).otherwise(found)
+
+    def found(h: Column) -> Column:
+        exact = F.struct(F.lit(0).alias("d"), F.try_element_at(place, h).alias("i"))
+        fuzzy = let(nearest(h), lambda x: named(x, "fuzzy"))
+        return F.when(h.isNull() | (h == ""), none).otherwise(let(exact, lambda x: F.when(x["i"].isNotNull(), named(x, "exact")).otherwise(fuzzy)))
 
-    # Through an array of one, so that the distances are computed once.
-    return F.get(F.transform(F.array(hit), named), 0)
+    return let(norm, found)
 
 
 def page_category(header: Column | str, synonyms: Mapping[str, list[str]], distance: int = 2) -> Column:

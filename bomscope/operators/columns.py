@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ColumnMapping
 from ..functions import text
-from ..functions.matching import column_match
+from ..functions.matching import column_match, let
 
 
 def mappings(headers: Column | str, cfg: ColumnMapping) -> Column:
@@ -15,8 +15,10 @@ def mappings(headers: Column | str, cfg: ColumnMapping) -> Column:
     headers = F.coalesce(headers, F.array().cast("array<string>"))
 
     def one(h: Column, i: Column) -> Column:
-        m = column_match(h, cfg.synonyms, cfg.fuzzy_max_distance)
-        return F.struct(i.alias("column_index"), F.coalesce(h, F.lit("")).alias("raw_header"), text.header_b(h).alias("normalized_header"), m["category"].alias("canonical_field"), m["method"].alias("match_method"), m["distance"].alias("match_distance"), m["synonym"].alias("matched_synonym"))
+        said = lambda m: F.struct(
+            i.alias("column_index"), F.coalesce(h, F.lit("")).alias("raw_header"), text.header_b(h).alias("normalized_header"), m["category"].alias("canonical_field"), m["method"].alias("match_method"), m["distance"].alias("match_distance"), m["synonym"].alias("matched_synonym"),
+        )
+        return let(column_match(h, cfg.synonyms, cfg.fuzzy_max_distance), said)
 
     return F.transform(headers, one)
 

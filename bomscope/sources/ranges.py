@@ -17,7 +17,7 @@ def parse(spec: str) -> list[list[int]]:
 
 def page_runs(specs: DataFrame) -> DataFrame:
     """(doc, spec) -> (doc, run_idx, pos, page), for many documents at once; runs without pages vanish."""
-    parts = F.filter(F.transform(F.split("spec", ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("spec", ","), lambda p: F.trim(p)), lambda p: p != "")
     ends = specs.select("doc", F.posexplode(parts).alias("run_idx", "part")).select("doc", "run_idx", F.split("part", "-", 2).alias("e"))
     low = F.trim(F.get("e", 0)).cast("int")
     ends = ends.select("doc", "run_idx", low.alias("low"), F.coalesce(F.trim(F.get("e", 1)).cast("int"), low).alias("high")).where("low <= high")
