@@ -84,7 +84,18 @@ def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], com
 
     first = chosen.select("bucket", "part", "id", F.lit(-1).alias("side"), F.col("id").alias("known"))
     first = _able(first, sketches, ["bucket", "part"], may, "able")
-    edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare), "links")
+    # Most links show when every id is compared in one of its buckets alone, which like ids tend to choose alike. Only
+    # blocks that then still hold several components are compared as a whole, so that data is hardly sent twice.
+    home = first.groupBy("id").agg(F.min("bucket").alias("bucket"))
+    alone = first.join(home, ["id", "bucket"], "left_semi").select(*first.columns)
+    one = stash(_edges(alone, fetch(alone), ["bucket", "part"], compare), "links")
+    found = stash(components(one), "found")
+    again = first.drop("known").join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
+    apart = again.groupBy("bucket", "part").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
+    again = again.join(stash(apart.select("bucket", "part"), "apart"), ["bucket", "part"], "left_semi").select(*first.columns)
+    again = _able(again, sketches, ["bucket", "part"], may, "able")
+    edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare)), "links")
+    discard(one, found)
     found = components(edges)
     split = chosen.where("blocks > 1")
     if split.isEmpty():
