@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ByWord, load_ranks
+from .bpe import load_ranks
 from .common import discard, stash, table, texts
 from .genetic import Solution, bins, evolve, fitness, load
 
@@ -34,21 +34,20 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 @lru_cache(maxsize=2)
-def id_words(path: str, kind: str = "<u4") -> ByWord:
-    """Ids of texts as little-endian bytes, word by word; one per Python worker."""
-    return ByWord(encoding(path).encode_ordinary, lambda ids: np.asarray(ids, dtype=kind).tobytes())
+def encoder(path: str):
+    """Ids of a text; one per Python worker."""
+    return encoding(path).encode_ordinary
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """Each document's ids and the end id as pieces of at most the capacity; only the first piece may be shorter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = id_words(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = b"".join(words.parts(text)) + end
+                ids = np.asarray(encode(text), dtype="<u4").tobytes() + end
                 n = len(ids) // 4
                 first = n % capacity or min(n, capacity)
                 for k, b in enumerate(range(first, n + 1, capacity)):

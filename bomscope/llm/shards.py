@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table, texts
-from .packing import encoding
+from .packing import encoder
 
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u4")])
 NO_ID = -(2**63)
@@ -51,11 +50,6 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = F
     return out.astype(np.int64)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    return encoding(path).encode_ordinary
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int = 512, shard_bytes: int = 16 << 20, key: int = 20_240_501, end_id: int = 50_256) -> int:
     """Write the shards under path; how many there are.
 

@@ -13,7 +13,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, dtype=np.uint64)
 #: Bytes that are hashed at once; a longer text is cut between words.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
 def powers(n: int) -> np.ndarray:

@@ -23,8 +23,9 @@ from .components import Sets, components
 from .linking import linked, only
 from .shingles import shingle_set, word_hashes
 
-#: An n-gram that a task meets this often is reported; the most frequent of those reported, at most KEPT, come last in order.
-LOCAL, KEPT = 4, 500_000
+#: An n-gram that a batch of a task holds this often is reported; the most frequent of those reported, at most KEPT, come
+#: last in order. N-grams over LOW of the hashes' range are hardly ever in a prefix anyway and aren't counted.
+LOCAL, KEPT, LOW = 4, 500_000, np.uint64(0.35 * 2**63)
 _LAST = np.uint64(1 << 63)
 
 
@@ -138,11 +139,11 @@ def _sets(pdf: pd.DataFrame, k: int) -> Iterator[tuple[object, np.ndarray]]:
 
 
 def frequent(docs: DataFrame, k: int = 5) -> np.ndarray:
-    """N-grams that come last in the global order, sorted: counts over all documents, of what a task met LOCAL times or more."""
+    """N-grams that come last in the global order, sorted: counts over all documents, of what a batch holds LOCAL times or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            every = [s for _, s in _sets(pdf, k) if len(s)]
+            every = [s[: np.searchsorted(s, LOW)] for _, s in _sets(pdf, k)]
             if every:
                 h, n = np.unique(np.concatenate(every), return_counts=True)
                 yield pd.DataFrame({"h": h[n >= LOCAL].astype(np.int64), "n": n[n >= LOCAL]})
@@ -183,7 +184,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
                 n = len(s)
                 prefix = sketch = None
                 if n and sig not in seen and not pd.isna(doc_id):
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 250_000:
                         seen.clear()
                     seen.add(sig)
                     prefix = ordered(s, last.value)[: n - -(-4 * n // 5) + 1].view(np.int64)
