@@ -54,6 +54,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def parts(batches: Iterator[pd.DataFrame], n: int = 1000) -> Iterator[pd.DataFrame]:
+    """The same rows, at most n at a time: what is made of a batch of texts stays small."""
+    for pdf in batches:
+        for i in range(0, len(pdf), n):
+            yield pdf.iloc[i : i + n]
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Groups of equal keys from a sorted partition, one at a time as arrays by column, whatever the batch borders."""
     held: list[dict[str, np.ndarray]] = []

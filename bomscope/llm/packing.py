@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import discard, stash, table, texts
+from .common import discard, parts, stash, table, texts
 from .genetic import Solution, bins, evolve, fitness, load
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
+        for pdf in parts(batches):
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = np.asarray(encode(text), dtype="<u4").tobytes() + end

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts
+from .common import parts, stash, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -146,7 +146,7 @@ def find(docs: DataFrame) -> DataFrame:
     """Per row: key (hash of doc_id and text), doc_id, base spans, and marks: strings in patterns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in parts(batches):
             bases, marks = [], []
             for text in pdf["text"]:
                 base = base_spans(text)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts
+from .common import parts, stash, table, texts
 from .components import Sets, components
 from .linking import linked, only
 from .shingles import shingle_set, word_hashes
@@ -176,7 +176,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for pdf in batches:
+        for pdf in parts(batches):
             out = []
             for doc_id, s in _sets(pdf, k):
                 raw = s.tobytes()
@@ -200,7 +200,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
 
     def payload_of(ids: DataFrame) -> DataFrame:
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in parts(batches):
                 got = [(xxhash.xxh3_64_intdigest(s.tobytes(), seed=digest_seed) - 2**63, ordered(s, last.value).tobytes()) for _, s in _sets(pdf, k) if len(s)]
                 yield pd.DataFrame(got, columns=["id", "data"])
 
