@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +56,20 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only
+    if trim:
+        trim(0)
+
+
 def parts(batches: Iterator[pd.DataFrame], n: int = 1000) -> Iterator[pd.DataFrame]:
     """The same rows, at most n at a time: what is made of a batch of texts stays small."""
     for pdf in batches:
         for i in range(0, len(pdf), n):
             yield pdf.iloc[i : i + n]
+    release()
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:

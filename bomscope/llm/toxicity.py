@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import release, table, texts
 from .gru import Net, Scorer, train
 
 #: The sample: rows of each label, and the longest text taken (characters). Scoring has no such bounds.
@@ -76,6 +76,8 @@ def clean(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD, text_c
                 part = batch.slice(i, 512)
                 said = part.column(part.schema.get_field_index(text_col)).to_pylist()
                 yield part.filter(pa.array(scorer.score([t or "" for t in said]) < threshold)) if scorer else part
+        del got, scorer
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
