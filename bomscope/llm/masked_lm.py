@@ -1,43 +1,54 @@
 """Masked pseudo-likelihood: a window network predicts every token from both sides; a document's score is the sum.
 
-Tokens are the ids of words: the most frequent words of the corpus have ids of their own, all others share ids by hash.
-An id is 32 * class + member, and its probability the product of two softmaxes of 32, so a prediction costs 64 outputs.
+The most frequent words of the corpus have ids of their own, all others share ids by hash; both numbers grow with the
+square root of the number of distinct words. An id is size * class + member, size the root of the number of ids, and its
+probability the product of two softmaxes. A word that shares its id has besides its part of that id's tokens, from the
+counts of all words of the corpus, which are joined to the texts by Spark: so every word is predicted, none a bucket.
 Training covers every token of the corpus once, in rounds: in each, every task improves the current weights on its share
 of the round's documents, and Spark averages them by the number of tokens. Word counts and weights are summed by Spark;
-the driver receives the most frequent words and one set of weights a round.
+the driver receives the most frequent words, a count for each id and one set of weights a round.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import stash, table, texts
 from .shingles import word_hashes
 
-SIDE, GROUP, OWN, SHARED = 2, 32, 768, 256
-IDS = OWN + SHARED
+#: LEAST is the smallest size of a softmax; one id in SHARE is shared.
+SIDE, LEAST, SHARE = 2, 32, 4
 DIM, HIDDEN = 10, 16
 ROUNDS, BATCH, RATE = 4, 4096, 0.08
 
 
+def size_for(distinct: int) -> int:
+    """The size of a softmax for so many distinct words: ids of their own for as many as the square root of that."""
+    return max(LEAST, math.ceil(math.sqrt(math.sqrt(distinct) * SHARE / (SHARE - 1))))
+
+
 class WindowNet:
-    """P(token | the SIDE tokens before and the SIDE after)."""
+    """P(id | the SIDE ids before and the SIDE after); counts of a square number of ids, the shared ones last."""
 
     def __init__(self, counts: np.ndarray, seed: int = 11) -> None:
+        self.ids, self.size = len(counts), math.isqrt(len(counts))
+        self.own = self.ids - self.ids // SHARE
         rng = np.random.default_rng(seed)
         make = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
-        n = np.log(counts + 1.0).reshape(-1, GROUP)
+        n = np.log(counts + 1.0).reshape(-1, self.size)
         total = np.logaddexp.reduce(n, axis=1)
         self.p = {
-            "e": make(IDS + 1, DIM, scale=0.3), "w": make(2 * SIDE * DIM, HIDDEN, scale=0.2), "b": np.zeros(HIDDEN, np.float32),
-            "c": make(HIDDEN, IDS // GROUP, scale=0.05), "cb": (total - np.logaddexp.reduce(total)).astype(np.float32),
-            "m": make(IDS // GROUP, HIDDEN, GROUP, scale=0.05), "mb": (n - total[:, None]).astype(np.float32),
+            "e": make(self.ids + 1, DIM, scale=0.3), "w": make(2 * SIDE * DIM, HIDDEN, scale=0.2), "b": np.zeros(HIDDEN, np.float32),
+            "c": make(HIDDEN, self.size, scale=0.05), "cb": (total - np.logaddexp.reduce(total)).astype(np.float32),
+            "m": make(self.size, HIDDEN, self.size, scale=0.05), "mb": (n - total[:, None]).astype(np.float32),
         }
 
     @staticmethod
@@ -50,15 +61,15 @@ class WindowNet:
     def log_probs(self, around: np.ndarray, target: np.ndarray, learn: dict | None = None) -> np.ndarray:
         """Log-probabilities of targets in their windows; with learn (squares by weight), one Adagrad step besides."""
         p, n = self.p, len(target)
-        cls, member = target // GROUP, target % GROUP
+        cls, member = target // self.size, target % self.size
         order = np.argsort(cls, kind="stable")
         around, cls, member = around[order], cls[order], member[order]
         x = p["e"][around].reshape(n, -1)
         h = np.tanh(x @ p["w"] + p["b"])
         pc = self._softmax(h @ p["c"] + p["cb"])
-        edge = np.searchsorted(cls, np.arange(IDS // GROUP + 1))
-        pm = np.empty((n, GROUP), np.float32)
-        for k in range(IDS // GROUP):
+        edge = np.searchsorted(cls, np.arange(self.size + 1))
+        pm = np.empty((n, self.size), np.float32)
+        for k in range(self.size):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 pm[a:b] = self._softmax(h[a:b] @ p["m"][k] + p["mb"][k])
@@ -73,7 +84,7 @@ class WindowNet:
         pm /= n
         g = {"c": h.T @ pc, "cb": pc.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
         dh = pc @ p["c"].T
-        for k in range(IDS // GROUP):
+        for k in range(self.size):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 g["m"][k], g["mb"][k] = h[a:b].T @ pm[a:b], pm[a:b].sum(axis=0)
@@ -92,19 +103,25 @@ class WindowNet:
         return out
 
 
-def windows(hashes: list[np.ndarray], top: np.ndarray, top_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_id(h: np.ndarray, ids: int) -> np.ndarray:
+    """The ids of words that have none of their own."""
+    shared = ids // SHARE
+    return (ids - shared + (h >> np.uint64(7)) % np.uint64(shared)).astype(np.int64)
+
+
+def windows(hashes: list[np.ndarray], top: np.ndarray, top_ids: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(neighbours, targets, lengths) of documents given by their words' hashes; past the ends is a token of its own."""
     sizes = np.array([len(h) for h in hashes])
-    gap = np.full(SIDE, IDS)
+    gap = np.full(SIDE, n_ids)
     parts = [gap]
     for h in hashes:
         at = np.minimum(np.searchsorted(top, h), max(0, len(top) - 1))
-        ids = (OWN + (h >> np.uint64(7)) % np.uint64(SHARED)).astype(np.int64)
+        ids = shared_id(h, n_ids)
         if len(top):
             ids = np.where(top[at] == h, top_ids[at], ids)
         parts += [ids, gap]
     every = np.concatenate(parts)
-    at = np.flatnonzero(every < IDS)
+    at = np.flatnonzero(every < n_ids)
     around = np.stack([every[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1) if len(at) else np.empty((0, 2 * SIDE), np.int64)
     return around, every[at], sizes
 
@@ -127,20 +144,31 @@ def _slices(pdf: pd.DataFrame, n: int = 256) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[i : i + n]
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[WindowNet, np.ndarray, np.ndarray]:
-    """The net, and the sorted hashes and ids of the words that have ids of their own."""
+class Model(NamedTuple):
+    """The net, the sorted hashes and ids of the words that have ids of their own, (word, n) of all words, and for each id
+    how often the words that share it occur."""
+
+    net: WindowNet
+    hashes: np.ndarray
+    ids: np.ndarray
+    counts: DataFrame
+    shared: np.ndarray
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
     spark = docs.sparkSession
-    counts = word_counts(docs).withColumn("shared", OWN + F.pmod(F.shiftrightunsigned("word", 7), F.lit(SHARED)))
-    counts = counts.persist()
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).select("word", "n").toPandas()
-    rest = counts.groupBy("shared").agg(F.sum("n").alias("n")).toPandas()
-    counts.unpersist()
-    by_id = np.zeros(IDS)
-    by_id[: len(top)] = top["n"]
-    by_id[rest["shared"].to_numpy(dtype=np.int64)] += rest["n"].to_numpy(dtype=np.float64)
+    counts = stash(word_counts(docs), "words")
+    n_ids = size_for(counts.count()) ** 2
+    shared = n_ids // SHARE
+    own = n_ids - shared
+    top = counts.orderBy(F.desc("n"), "word").limit(own).select("word", "n").toPandas()
+    rest = counts.groupBy((own + F.pmod(F.shiftrightunsigned("word", 7), F.lit(shared))).alias("shared")).agg(F.sum("n").alias("n")).toPandas()
+    by_id = np.zeros(n_ids)
+    by_id[rest["shared"].to_numpy(dtype=np.int64)] = rest["n"].to_numpy(dtype=np.float64)
     words = top["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    for w, n in zip((OWN + (words >> np.uint64(7)) % np.uint64(SHARED)).tolist(), top["n"].tolist(), strict=True):
-        by_id[w] -= n  # these have ids of their own
+    np.subtract.at(by_id, shared_id(words, n_ids), top["n"].to_numpy(dtype=np.float64))  # these have ids of their own
+    sharing = by_id.copy()
+    by_id[: len(top)] = top["n"]
     order = np.argsort(words)
     hashes, ids = words[order], order.astype(np.int64)
     net = WindowNet(by_id)
@@ -154,7 +182,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[WindowNet, np.ndarray, n
             seen = 0
             for pdf in batches:
                 for part in _slices(pdf):
-                    around, target, _ = windows(list(word_hashes(part["text"].tolist())), top_, top_ids)
+                    around, target, _ = windows(list(word_hashes(part["text"].tolist())), top_, top_ids, own.ids)
                     turn = np.random.default_rng(len(target)).permutation(len(target))
                     for lo in range(0, len(turn), BATCH):
                         own.log_probs(around[turn[lo : lo + BATCH]], target[turn[lo : lo + BATCH]], squares)
@@ -173,30 +201,47 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[WindowNet, np.ndarray, n
                 size = int(np.prod(shape))
                 net.p[k] = flat[at : at + size].reshape(shape)
                 at += size
-    return net, hashes, ids
+    return Model(net, hashes, ids, counts, sharing)
 
 
-def score(docs: DataFrame, model: tuple[WindowNet, np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, n_tokens, log_prob (the sum over all tokens) and mean_log_prob.
 
-    A null or empty text has no tokens, a sum of 0 and a null mean. Null and repeated doc_ids pass through; other columns
-    are ignored.
+    A word that shares its id with words of N tokens, n of them its own, has n / (N + 1) of the id's probability; a word
+    that the model's corpus lacks has 1 / (N + 1), for all such words of the id together. A null or empty text has no
+    tokens, a sum of 0 and a null mean. Null and repeated doc_ids pass through; other columns are ignored. Rows are
+    known by a 64-bit hash of doc_id and text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.net, model.hashes, model.ids, np.log(model.shared + 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net, top, ids = pickle.loads(sent.value)
+        net, top, ids, of_shared = pickle.loads(sent.value)
         for pdf in batches:
             for part in _slices(pdf):
-                around, target, sizes = windows(list(word_hashes(part["text"].tolist())), top, ids)
+                around, target, sizes = windows(list(word_hashes(part["text"].tolist())), top, ids, net.ids)
                 logs = np.concatenate([net.log_probs(around[i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)] or [np.empty(0)])
-                sums = np.concatenate([[0.0], np.cumsum(logs)])
                 end = np.cumsum(sizes)
-                total = sums[end] - sums[end - sizes]
-                mean = pd.Series(total / np.maximum(sizes, 1)).mask(sizes == 0)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": sizes, "log_prob": total, "mean_log_prob": mean})
+                per_row = lambda x, end=end, sizes=sizes: (s := np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]))[end] - s[end - sizes]
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "doc_id": part["doc_id"].astype("Int64"), "n_tokens": sizes, "log_net": per_row(logs - of_shared[target]), "n_sharing": per_row((target >= net.own).astype(np.int64))})
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    def sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, top, _, _ = pickle.loads(sent.value)
+        for pdf in batches:
+            for part in _slices(pdf):
+                found = list(word_hashes(part["text"].tolist()))
+                key, word = np.repeat(part["key"].to_numpy(), [len(h) for h in found]), np.concatenate(found)
+                if len(top):
+                    rare = top[np.minimum(np.searchsorted(top, word), len(top) - 1)] != word
+                    key, word = key[rare], word[rare]
+                yield pd.DataFrame({"key": key, "word": word.view(np.int64)})
+
+    keyed = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = keyed.mapInPandas(run, "key long, doc_id long, n_tokens long, log_net double, n_sharing long")
+    # A count of 1 adds nothing to the sum, so these and unknown words need no partner. Rows that repeat have equal means.
+    known = model.counts.where("n > 1")
+    parts = keyed.mapInPandas(sharing, "key long, word long").join(known, "word", "left").groupBy("key").agg(F.avg(F.log(F.coalesce("n", F.lit(1)))).alias("part"))
+    total = F.col("log_net") + F.col("n_sharing") * F.coalesce("part", F.lit(0.0))
+    return rows.join(parts, "key", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -9,7 +10,8 @@ from hypothesis import strategies as st
 
 from bomscope.llm import pii
 from bomscope.llm.gru import Scorer, train
-from bomscope.llm.masked_lm import fit, score
+from bomscope.llm.masked_lm import fit, score, shared_id, size_for
+from bomscope.llm.shingles import word_hashes
 from bomscope.llm.toxicity import clean, toxicity
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -121,6 +123,29 @@ def test_masked_model_prefers_the_corpus_to_shuffled_words(spark):
     assert abs(got[0].mean_log_prob * 80 - got[0].log_prob) < 1e-6
 
 
+def test_masked_model_tells_words_of_a_shared_id_apart(spark):
+    rng = random.Random(4)
+    rare = [f"r{i}" for i in range(1500)]
+    docs = [(i, " ".join(rng.choices(["a", "b", "c"], k=30) + rng.choices(rare, weights=range(1, 1501), k=30))) for i in range(800)]
+    model = fit(spark.createDataFrame(docs, "doc_id long, text string"), rounds=1)
+    n = {w: sum(t.split().count(w) for _, t in docs) for w in rare}
+    names = [w for w in rare if n[w]] + ["unseen"]
+    by_id = {}
+    for w, h in zip(names, word_hashes(names), strict=True):
+        if h[0] not in model.hashes:
+            by_id.setdefault(int(shared_id(h, model.net.ids)[0]), []).append(w)
+    ws = next(ws for ws in by_id.values() if len({n.get(w, 0) for w in ws}) > 2)
+    got = {r.doc_id: r.log_prob for r in score(spark.createDataFrame([(i, f"a {w} b") for i, w in enumerate(ws)], "doc_id long, text string"), model).collect()}
+    for i, w in enumerate(ws):
+        assert got[i] - got[0] == pytest.approx(math.log(max(1, n.get(w, 1))) - math.log(max(1, n.get(ws[0], 1))), abs=1e-4)
+    for k, ws in by_id.items():
+        assert model.shared[k] == sum(n.get(w, 0) for w in ws)
+
+
+def test_the_masked_models_ids_follow_the_corpus():
+    assert size_for(500_000) == 32 and size_for(4_000_000) > 50 and size_for(60_000_000) > 100
+
+
 def test_digest_of_no_spans(spark):
     from bomscope.llm.pii import as_text
 
