@@ -158,6 +158,22 @@ def test_line_dedup_by_brute_force(spark):
     assert sorted((r.doc_id, r.text or "") for r in out.collect() if r.doc_id is not None) == sorted((i, t or "") for i, t in want)
 
 
+def test_short_lines_with_one_edit_are_alike(spark):
+    rng = random.Random(9)
+    of = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    rows, pairs = [], []
+    for i in range(60):
+        a = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(11))[: rng.randrange(50, 78)]
+        b = a[:25] + "#" + a[26:]
+        assert 5 * len(of(a) & of(b)) >= 4 * len(of(a) | of(b))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        pairs.append(2 * i + 1)
+    rows += [(1000, "we said that the old mill by the river was empty until winter came"), (1001, "we said that is old mill by the river was empty until winter came")]
+    assert 5 * len(of(rows[-1][1]) & of(rows[-2][1])) >= 4 * len(of(rows[-1][1]) | of(rows[-2][1]))
+    got = {r.doc_id: r.lines_after for r in line_dedup(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n == 0} == {*pairs, 1001}
+
+
 def test_embedding_dedup_by_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = []
