@@ -7,6 +7,7 @@ length and each number has its place by arithmetic; no task holds a group.
 
 from __future__ import annotations
 
+import json
 import pickle
 import zlib
 from collections.abc import Iterator
@@ -39,11 +40,28 @@ def encoder(path: str):
     return encoding(path).encode_ordinary
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
+@lru_cache(maxsize=2)
+def library_encoder(path: str):
+    """Ids of a text as the library of a .json file gives them by default: its added tokens, where a text holds them, are
+    one id each. Added tokens that take blanks with them, whole words or normalised text alone are refused."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError(f"{path} has added tokens of an unknown kind")
+    special = {t["content"]: t["id"] for t in added}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        return enc.encode(text, allowed_special="all") if any(t in text for t in special) else enc.encode_ordinary(text)
+
+    return encode
+
+
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, added: bool = False) -> DataFrame:
     """Each document's ids and the end id as pieces of at most the capacity; only the first piece may be shorter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = (library_encoder if added else encoder)(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         for pdf in parts(batches):
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -118,14 +136,15 @@ def _places(solution: Solution) -> dict[int, tuple[np.ndarray, ...]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, **search_options: int) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, added: bool = False, **search_options: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Rows with repeated or null doc_ids are packed each for itself. Sequences are
-    filled without gaps from offset 0. An empty table gives an empty result. Other columns are ignored.
+    filled without gaps from offset 0. An empty table gives an empty result. Other columns are ignored. With added, the
+    added tokens of the vocabulary's .json file are one id each in texts that hold them, else they are ordinary text.
     """
     spark = docs.sparkSession
-    rows = stash(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    rows = stash(pieces(docs, tokenizer_path, capacity, end_id, added), "pieces")
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     hist = np.zeros(capacity, dtype=np.int64)
     for a, n in counts.items():
@@ -155,4 +174,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from bomscope.llm.bpe import ByWord, TreeBPE, load_ranks
 from bomscope.llm.genetic import bins, crossover, evolve, first_solution, load, mutate
-from bomscope.llm.packing import encoding, pack
+from bomscope.llm.packing import encoding, library_encoder, op4_packing, pack
 from bomscope.llm.shards import feistel, read_shards, write_shards
 from bomscope.llm.tree_bpe import bpe_decode, bpe_digests, bpe_encode
 
@@ -63,6 +63,22 @@ def test_the_json_vocabulary_gives_the_ids_of_its_library():
         assert mine.encode_ordinary(t or "") == other.encode(t or "", add_special_tokens=False).ids
 
 
+def test_packing_has_the_ids_of_the_library_by_default(spark, tmp_path):
+    other = Tokenizer.from_file(JSON)
+    special = ["a <|endoftext|>", "x  <|endoftext|>  y<|endoftext|><|endoftext|>z \n", "<|endoftext|", " <|endoftext|> 's"]
+    rows = [(i, t) for i, t in enumerate([*TEXTS, *special])]
+    assert library_encoder(JSON)("<|endoftext|> is text")[0] == 50256
+    want = set()
+    for i, t in rows:
+        ids = other.encode(t or "", add_special_tokens=False).ids
+        assert library_encoder(JSON)(t or "") == ids
+        if len(ids) < 2048:
+            want.add((i, len(ids) + 1, zlib.crc32(np.array([*ids, 0], dtype="<u4").tobytes())))
+    frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.length, r.ids_crc32) for r in op4_packing(spark, str(tmp_path)).collect()}
+    assert want <= got and len(want) >= len(special)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
 def test_feistel_permutes(n):
     out = feistel(np.arange(n), n, 9)
