@@ -127,9 +127,30 @@ def others(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
+def words_before(text: str, a: int) -> list[str]:
+    """The two whole words that end nearest before a, as far off as they are (fewer at the start of the text)."""
+    n = 64
+    while True:
+        low = max(0, a - n)
+        words = text[low:a].split()
+        if low == 0 or len(words) > 2 or len(words) == 2 and text[low].isspace():
+            return words[-2:]
+        n *= 4
+
+
+def word_after(text: str, b: int) -> list[str]:
+    """The whole word that begins nearest after b, if there is one."""
+    n = 48
+    while True:
+        words = text[b : b + n].split()
+        if b + n >= len(text) or len(words) > 1 or len(words) == 1 and text[b + n - 1].isspace():
+            return words[:1]
+        n *= 4
+
+
 def patterns(text: str, a: int, b: int) -> list[int]:
     """Hashes of the lexical patterns around text[a:b]: the two words before, and the word on each side."""
-    left, right = text[max(0, a - 64) : a].lower().split()[-2:], text[b : b + 48].lower().split()[:1]
+    left, right = [w.lower() for w in words_before(text, a)], [w.lower() for w in word_after(text, b)]
     out = []
     if len(left) == 2:
         out.append(f"two {left[0]} {left[1]}")

@@ -60,6 +60,20 @@ def test_patterns_discover_what_seeds_stand_in(spark):
     assert pii.pii(docs.limit(0)).count() == 0
 
 
+def test_patterns_reach_over_wide_blanks_and_long_words(spark):
+    for gap in (" ", " " * 63, "\n" + " " * 500, "\t" * 5000):
+        for long in ("at", "w" * 61, "w" * 3000):
+            text = f"some please{gap}{long}{gap}1 555{gap}{long}{gap}end"
+            a = text.index("1 555")
+            assert pii.words_before(text, a) == text[:a].split()[-2:] and pii.word_after(text, a + 5) == text[a + 5 :].split()[:1]
+            assert pii.patterns(text, a, a + 5) == pii.patterns(f"please {long} 1 555 {long}", 8 + len(long), 13 + len(long))
+    assert pii.words_before("", 0) == pii.words_before("   ", 3) == pii.word_after(" " * 100, 1) == []
+    wide = " " * 90
+    rows = [(i, f"please call{wide}+1 (555) 010-{1000 + i}{wide}today") for i in range(20)] + [(100, f"please call{wide}555 010 7777{wide}today")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [(101, pii.PHONE, 113)]
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     stems = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter", "ran", "os") for b in ("den", "vel", "tis", "mor", "ra")]
