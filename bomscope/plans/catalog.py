@@ -46,6 +46,12 @@ def title_snippet(spark: SparkSession, d: str) -> DataFrame:
     return s.where("t.found").select("doc", "page", "t.snippet")
 
 
+def title_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The snippet of the first of all patterns that a page has, in the settings' order."""
+    s = A.turns(spark, d).select("doc", "page", signals.title("text", Title(patterns=TITLES)).alias("t"))
+    return s.where("t.found").select("doc", "page", "t.snippet")
+
+
 def header_normalize(spark: SparkSession, d: str) -> DataFrame:
     dirty = F.concat(F.lit("  "), F.initcap("p_name"), F.when(F.col("p_partkey") % 3 == 0, "\n\tNo. :").when(F.col("p_partkey") % 3 == 1, " :. ").otherwise(".:"), F.when(F.col("p_partkey") % 5 == 0, "�").otherwise(""))
     p = A.load(spark, d, "part").select("p_partkey", dirty.alias("h"))
@@ -268,7 +274,7 @@ def page_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    title_signal, title_snippet, header_normalize, header_match, column_header_signal, row_count_signal, vector_density, page_score, continuity, runs_islands, runs_fold, run_summary,
+    title_signal, title_snippet, title_snippets, header_normalize, header_match, column_header_signal, row_count_signal, vector_density, page_score, continuity, runs_islands, runs_fold, run_summary,
     top10_pages, page_report, promote_header, select_table, parser_preference, consensus, pages_without_table, map_columns, merged_columns, section_rows, inherit_tag, extra_fields,
     parse_quantity, canonical_rows, validation_audit, metrics, fill_rates, search_filter, search_literal, union_docs, import_sheet, order_sheet, csv_rows, zone_tokens, section_labels,
     page_sections, overlap_join, best_overlap, extra_pages, page_ranges, page_spans,

@@ -194,6 +194,7 @@ _PAGES = "pg AS (SELECT DISTINCT CAST(l_orderkey // 8 AS VARCHAR) AS doc, CAST(l
 SQL: dict[str, str] = {
     "title_signal": "WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, concat_ws('|', " + ", ".join(f"CASE WHEN regexp_matches(text, {quote(p)}, 'i') THEN {quote(p)} END" for p in TITLES) + ") AS patterns, " + " + ".join(f"CAST(coalesce(regexp_matches(text, {quote(p)}, 'i'), false) AS INTEGER)" for p in TITLES) + " AS n_patterns FROM conversations) SELECT doc, page, CASE WHEN n_patterns > 0 THEN 3.0 ELSE 0.0 END AS score, n_patterns, patterns FROM h",
     "title_snippet": rf"SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, trim(regexp_replace(regexp_extract(text, '(?is).{{0,30}}?(?:{TITLES[0]}).{{0,30}}'), '\s+', ' ', 'g')) AS snippet FROM conversations WHERE regexp_matches(text, {quote(TITLES[0])}, 'i')",
+    "title_snippets": "SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, trim(regexp_replace(CASE " + " ".join(rf"WHEN regexp_matches(text, {quote(p)}, 'i') THEN regexp_extract(text, {quote(f'(?is).{{0,30}}?(?:{p}).{{0,30}}')})" for p in TITLES) + r" END, '\s+', ' ', 'g')) AS snippet FROM conversations WHERE " + " OR ".join(f"regexp_matches(text, {quote(p)}, 'i')" for p in TITLES),
     "header_normalize": r"""WITH s AS (
   SELECT p_partkey, '  ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || CASE p_partkey % 3 WHEN 0 THEN chr(10) || chr(9) || 'No. :' WHEN 1 THEN ' :. ' ELSE '.:' END || CASE WHEN p_partkey % 5 = 0 THEN '�' ELSE '' END AS h FROM part),
  n AS (SELECT p_partkey, lower(trim(regexp_replace(replace(h, '�', '.'), '\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(h, '\s+', ' ', 'g'))) AS c FROM s)

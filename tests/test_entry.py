@@ -32,6 +32,13 @@ def test_query_is_its_sql(spark, name):
     assert shape(got) == shape(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_snippets_of_all_title_patterns(spark):
+    test_query_is_its_sql(spark, "title_snippets")
+    first, every = (__spark_entry__.queries()[n](spark, SF).count() for n in ("title_snippet", "title_snippets"))
+    assert every > first > 0
+
+
 def test_every_query_has_sql_or_a_reason():
     without = {n for n in __spark_entry__.queries() if n not in __spark_entry__.oracle_sql()}
     assert all(n.startswith("op") or n == "pipeline" for n in without)
