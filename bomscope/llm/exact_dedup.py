@@ -1,8 +1,10 @@
 """Exact deduplication by skew-safe combining: inside each task, over salted digest groups, then over the salt winners.
 
-The digest only routes rows. Every stage groups by the digest AND the full text, so two texts that share a digest never
-merge. Texts whose digest occurs once in the table have nothing to be compared with and are not shuffled at all.
-All of it is DataFrame code.
+One plan at every size. The rows are grouped as they are read, by salt, digest and full text: Spark combines inside each
+task first, so a task sends one row for each salt and text whatever number of copies it holds, and merges the salted
+groups next; the winners of all salts are combined by digest and text. The digest only routes, the full text is compared
+at every stage, so two texts that share a digest never merge. What the rows then learn travels without texts, by digest
+and salt. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -12,9 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts
+from .common import discard, stash, table, texts
 
-SALTS = 32
+SALTS = 128
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, digest, salt) -> one row for each salt, digest and full text: combined inside tasks, then by salted digest."""
+    return rows.groupBy("salt", "digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = None, salts: int = SALTS) -> DataFrame:
@@ -25,29 +32,29 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] | None = Non
     another id; a group of null ids has a null keep_id and keeps them all. An empty table gives an empty result. Other
     columns are ignored. digest: any function of the text; a weak one only costs time.
     """
+    own = digest is None
     digest = digest or (lambda c: F.unhex(F.sha2(c, 256)))
-    rows = texts(docs).withColumn("digest", digest(F.col("text")))
-    marks = stash(rows.select("doc_id", "digest", F.sha2("text", 256).alias("text_sha256")), "digests")
-    # Written, so that the join below deals both sides itself and Spark can split a digest that very many rows have.
-    many = stash(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "many")
-    # The salt is part of the key's value: grouping by (digest, salt) could be served by the join's dealing by digest alone.
-    # It is the number of the task, so that each task sends one row for each text, whatever number of copies it holds.
-    salt = F.lpad(F.pmod(F.spark_partition_id(), F.lit(salts)).cast("string"), 4, "0")
-    salted = rows.join(many, "digest", "left_semi").select(F.struct(salt.alias("salt"), "digest").alias("key"), "text", "doc_id")
-    some = salted.groupBy("key", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    won = some.select(F.col("key.digest").alias("digest"), "text", "keep_id", "n").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    won = stash(won.select("digest", F.sha2("text", 256).alias("own_sha256"), "text", "keep_id", "group_size"), "winners")
-    texts_of = won.groupBy("digest").agg(F.count("*").alias("n_texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    # All rows of such a digest have one text, as the comparison above has shown.
-    sure = texts_of.where("n_texts = 1").select("digest", "keep_id", "group_size", F.lit(False).alias("clash"))
-    clash = texts_of.where("n_texts > 1").select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"), F.lit(True).alias("clash"))
-    found = marks.join(sure.unionByName(clash), "digest", "left")
-    plain = found.where("clash is null or not clash").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
-    if texts_of.where("n_texts > 1").isEmpty():
-        out = plain
+    # The salt depends on the row alone, so that a task that is run again deals its rows as before.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    rows = texts(docs).select("doc_id", "text", digest(F.col("text")).alias("digest"), salt.alias("salt"))
+    won = salted(rows).groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    won = stash(won.select("digest", "keep_id", "group_size"), "winners")
+    clash = stash(won.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clashes")
+    marks = stash(rows.select("doc_id", "digest", "salt", *[F.sha2("text", 256).alias("text_sha256")] * (not own)), "marks")
+    marks = marks.withColumn("text_sha256", F.lower(F.hex("digest"))) if own else marks
+    # A digest that many rows have is met by its rows salt by salt; one that a single row has needs no partner.
+    met = marks.groupBy("digest", "salt").agg(F.count("*").alias("n")).select("digest", "salt")
+    copies = met.join(won.where("group_size > 1"), "digest").withColumnRenamed("digest", "of").withColumnRenamed("salt", "of_salt")
+    found = marks.join(copies, F.expr("digest = of and salt = of_salt"), "left")
+    columns = ("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
+    if clash.isEmpty():
+        out = found.select(*columns)
+        discard(clash)
     else:
-        again = rows.join(clash.select("digest"), "digest", "left_semi").join(won.select("digest", "text", "keep_id", "group_size"), ["digest", "text"])
-        out = plain.unionByName(again.select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256")))
+        found = marks.join(clash, "digest", "left_anti").join(copies.join(clash.withColumnRenamed("digest", "of"), "of", "left_anti"), F.expr("digest = of and salt = of_salt"), "left")
+        mixed = rows.join(clash, "digest", "left_semi")
+        by_text = mixed.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        out = found.select(*columns).unionByName(mixed.join(by_text, ["digest", "text"]).select("doc_id", "keep_id", "group_size", F.sha2("text", 256).alias("text_sha256")))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

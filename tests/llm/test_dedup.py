@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bomscope.llm.components import components
 from bomscope.llm.embedding_dedup import embedding_dedup
-from bomscope.llm.exact_dedup import exact_dedup
+from bomscope.llm.exact_dedup import exact_dedup, salted
 from bomscope.llm.line_dedup import line_dedup, shingles
 from bomscope.llm.trie_join import Trie, jaccard_join, may_link, parity
 
@@ -80,6 +80,24 @@ def test_exact_dedup_compares_whole_texts(spark, digest):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_deals_a_hot_text_to_many_tasks(spark):
+    """A third of all rows have one text; salted groups of it stand in several tasks, each of a few rows, joins broadcast or not."""
+    rows = [(i, "hot " * 50 if i % 3 == 0 else f"text {i}") for i in range(900)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = frame(spark, rows).repartition(6)
+        keyed = docs.select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("salt"))
+        hot = salted(keyed).where("text like 'hot%'").select(F.spark_partition_id().alias("task"), "salt").collect()
+        assert len({r.task for r in hot}) > 1 and len(hot) == len({r.salt for r in hot}) == 32
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: (897, 300, i == 897) if i % 3 == 0 else (i, 1, True) for i, _ in rows}
+
+
 def brute_jaccard(rows):
     sets = {}
     for i, t in rows:
