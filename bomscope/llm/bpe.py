@@ -17,8 +17,12 @@ from collections.abc import Callable, Sequence
 import public_tokenizers
 import regex
 
-#: A blank that white space or the end follows: there, cutting before blanks would cut inside a match.
-_UNSAFE = re.compile(r" (?=\s|\Z)")
+#: Blanks that start a match, and a blank that doesn't.
+_BLANK, _RUN = re.compile(r" (?=\S)"), re.compile(r" (?=\s|\Z)")
+
+
+#: The longest piece of a match that is remembered, in bytes; most pieces of a text's rare words are shorter than those.
+KEPT = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,29 +43,33 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class TreeBPE:
     """Encoder and decoder over given ranks. memo_size bounds each of the memory's tables (entries); a full one is emptied."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, memo_size: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, memo_size: int = 350_000) -> None:
         self.ranks = ranks
         self.bytes_of: dict[int, bytes] = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.size = memo_size
         self.pieces: dict[bytes, tuple[int, ...]] = {}
         self.seams: dict[bytes, tuple[int, ...]] = {}
-        self.texts: dict[str, tuple] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.longest = max(map(len, ranks))
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The merges themselves, lowest rank first, leftmost on ties; for the short windows at seams."""
+        get, none = self.ranks.get, len(self.ranks) + (1 << 32)
         parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        rank = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while rank:
+            low = min(rank)
+            if low == none:
                 break
+            at = rank.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
+            del rank[at]
+            if at:
+                rank[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(rank):
+                rank[at] = get(parts[at] + parts[at + 1], none)
+        return tuple(map(self.ranks.__getitem__, parts))
 
     def window(self, data: bytes) -> tuple[int, ...]:
         got = self.seams.get(data)
@@ -73,12 +81,17 @@ class TreeBPE:
 
     def holds(self, a: int, b: int) -> bool:
         """Is the pair the encoding of its own bytes?"""
-        return self.window(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) >= self.size:
+                self.pairs.clear()
+            got = self.pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b]) == (a, b)
+        return got
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
-        """encode(x + y) from encode(x) and encode(y)."""
-        if not left or not right:
-            return left or right
+        """encode(x + y) from encode(x) and encode(y); a seam that holds needs no window."""
+        if not left or not right or self.holds(left[-1], right[0]):
+            return left + right
         w = 1
         while True:
             i, j = max(0, len(left) - w), min(w, len(right))
@@ -87,25 +100,44 @@ class TreeBPE:
                 return left[:i] + mid + right[j:]
             w *= 2
 
+    def whole(self, data: bytes) -> int | None:
+        """The token that has these bytes and that their merges lead to; a vocabulary may hold others."""
+        own = self.ranks.get(data)
+        return own if own is not None and (len(data) == 1 or self.merge(data) == (own,)) else None
+
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
-        """One match of the pattern, by halves."""
-        if len(data) < 2:
-            return (self.ranks[data],) if data else ()
-        if len(data) > 32:
-            return self.join(self.encode_bytes(data[: len(data) // 2]), self.encode_bytes(data[len(data) // 2 :]))
-        got = self.pieces.get(data)
-        if got is None:
-            got = self.join(self.encode_bytes(data[: len(data) // 2]), self.encode_bytes(data[len(data) // 2 :]))
-            if len(self.pieces) >= self.size:
-                self.pieces.clear()
-            self.pieces[data] = got
+        """One match of the pattern, by halves; a half that is a token is done. Short pieces are remembered."""
+        if not data:
+            return ()
+        pieces = self.pieces
+        got = pieces.get(data)
+        if got is not None:
+            return got
+        own = self.whole(data) if len(data) <= self.longest else None
+        if own is not None:
+            got = (own,)
+        else:
+            half = len(data) // 2
+            x, y = data[:half], data[half:]
+            left, right = pieces.get(x) or self.encode_bytes(x), pieces.get(y) or self.encode_bytes(y)
+            got = left + right if self.pairs.get((left[-1], right[0])) else self.join(left, right)
+        if len(data) <= KEPT:
+            if len(pieces) >= self.size:
+                pieces.clear()
+            pieces[data] = got
         return got
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, each match of the pattern by itself."""
+        """Ids of a whole text, each match of the pattern by itself; a match that is a token needs no merging."""
         out: list[int] = []
+        ranks = self.ranks
         for m in self.pattern.findall(text):
-            out.extend(self.encode_bytes(m.encode()))
+            data = m.encode()
+            own = ranks.get(data)
+            if own is None:
+                out += self.encode_bytes(data)
+            else:
+                out.append(own)
         return out
 
     def decode(self, ids: Sequence[int]) -> bytes:
@@ -115,32 +147,56 @@ class TreeBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class ByWord:
-    """A text's encoding as the sequence of its words' values, of which a bounded number is remembered.
+class Memo(dict):
+    """What make() gives for a blank and a word, of a bounded number of words: when it is full, it keeps those met again
+    while the next fill."""
+
+    def __init__(self, make: Callable[[str], object], size: int) -> None:
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, word: str) -> object:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(" " + word)
+        self[word] = got
+        return got
+
+
+def cut(text: str) -> tuple[str, list[str]]:
+    """A text's start and the words that follow, each after the blank it lost.
 
     A blank before a character that isn't white space always starts a match of the pattern, so what stands between two
-    such blanks is encoded alike anywhere. value(ids) is what is kept of a word; texts with other runs of blanks are
-    encoded as one piece.
+    such blanks is encoded alike anywhere.
     """
+    first, *rest = _BLANK.split(text) if _RUN.search(text) else text.split(" ")
+    return first, rest
 
-    def __init__(self, encode: Callable[[str], Sequence[int]], value: Callable[[Sequence[int]], object], size: int = 400_000) -> None:
-        self.encode, self.value, self.size = encode, value, size
-        self.known: dict[str, object] = {}
 
-    def miss(self, word: str) -> object:
-        got = self.value(self.encode(" " + word))
-        if len(self.known) >= self.size:
-            self.known.clear()
-        self.known[word] = got
-        return got
-
-    def parts(self, text: str) -> list:
-        if not text:
-            return []
-        if _UNSAFE.search(text):
-            return [self.value(self.encode(text))]
-        first, *rest = text.split(" ")
-        known, miss = self.known, self.miss
-        out = [self.value(self.encode(first))] if first else []
-        out.extend([known.get(w) or miss(w) for w in rest])
+class ByWord:
+    """Whole texts by way of their words: ids, the ids as decimal text, and the bytes that the ids decode to."""
+
+    def __init__(self, bpe: TreeBPE, size: int = 350_000) -> None:
+        self.bpe = bpe
+        self.known = Memo(bpe.encode, size)
+        self.said = Memo(self.say, size)
+
+    def say(self, text: str) -> tuple[str, bytes]:
+        own = self.bpe.encode(text)
+        return ",".join(map(str, own)), self.bpe.decode(own)
+
+    def ids(self, text: str) -> list[int]:
+        first, rest = cut(text)
+        out = self.bpe.encode(first)
+        for x in map(self.known.__getitem__, rest):
+            out += x
         return out
+
+    def digests(self, text: str) -> tuple[str, bytes]:
+        """The ids in decimal with commas, and what they decode to, word by word up the tree."""
+        first, rest = cut(text)
+        got = [self.say(first), *map(self.said.__getitem__, rest)]
+        return ",".join([x[0] for x in got if x[0]]), b"".join([x[1] for x in got])

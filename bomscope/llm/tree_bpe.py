@@ -19,7 +19,7 @@ from .common import table, texts
 def _coder(path: str) -> tuple[TreeBPE, ByWord]:
     """One per Python worker, which keeps it from task to task."""
     bpe = TreeBPE(load_ranks(path))
-    return bpe, ByWord(bpe.encode, lambda ids: (tuple(ids), ",".join(map(str, ids))))
+    return bpe, ByWord(bpe)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -31,8 +31,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, words = _coder(ranks_path)
         for pdf in batches:
-            ids = [[i for part in words.parts(t) for i in part[0]] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [words.ids(t) for t in pdf["text"]]})
 
     return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -55,14 +54,12 @@ def bpe_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, words = _coder(ranks_path)
+        _, words = _coder(ranks_path)
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
-                parts = words.parts(t)
-                ids = [i for p in parts for i in p[0]]
-                shown = ",".join([p[1] for p in parts if p[1]])
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+                said, decoded = words.digests(t)
+                rows.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out

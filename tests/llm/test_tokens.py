@@ -21,7 +21,7 @@ MULTI, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 with open(MULTI, "rb") as f:
     PLAIN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
 TREE = TreeBPE(load_ranks(MULTI))
-WORDS = ByWord(TREE.encode, tuple, size=50)
+WORDS = ByWord(TREE, size=50)
 TEXTS = ["", None, " ", "a", "  two  blanks  ", "It's we'll\n\n\tdone \r\n x", "naïve café 123 4567!!", "a" * 5000, "ab" * 3000 + " end", "日本語 текст  x", "<|endoftext|> is text", "é​ 🙂🙂"]
 ROWS = list(enumerate([*TEXTS, *TEXTS[3:6]], 1)) + [(None, "null id"), (1, "again")]
 
@@ -35,7 +35,8 @@ def frame(spark, rows=ROWS):
 def test_tree_is_the_plain_encoding(text):
     ids = PLAIN.encode_ordinary(text)
     assert TREE.encode(text) == ids
-    assert [i for p in WORDS.parts(text) for i in p] == ids
+    assert WORDS.ids(text) == ids
+    assert WORDS.digests(text) == (",".join(map(str, ids)), text.encode())
     assert TREE.decode(ids) == text.encode()
 
 
