@@ -14,19 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: The most bytes of one batch that a Python worker gets: what it makes of a batch stays a small multiple of that.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all machines see: spark.checkpoint.dir. Where that is unset a temporary one serves a single machine;
+    on a cluster it is an error, as each executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="bomscope-")
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's batches for Python hold BATCH_BYTES at most (a row more), unless it has a lower bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(64 << 20)):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives the loss of executors."""
     spark = df.sparkSession
@@ -53,6 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that no other column can clash; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -72,8 +86,9 @@ def parts(batches: Iterator[pd.DataFrame], n: int = 1000) -> Iterator[pd.DataFra
     release()
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Groups of equal keys from a sorted partition, one at a time as arrays by column, whatever the batch borders."""
+def runs(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 1, two: bool = False) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
+    """(False, a group of equal keys) from a sorted partition, one at a time as arrays by column, whatever the batch borders;
+    groups of fewer than least rows may be left out. With two, also (True, groups of two rows one after another)."""
     held: list[dict[str, np.ndarray]] = []
     last = None
     whole = lambda parts: parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
@@ -85,33 +100,47 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str,
         change = np.zeros(n, dtype=bool)
         for k in keys:
             change[1:] |= cols[k][1:] != cols[k][:-1]
-        cuts = [0, *change.nonzero()[0].tolist(), n]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == 0:
+        cuts = np.concatenate([[0], change.nonzero()[0], [n]])
+        size = np.diff(cuts)
+        inner = np.ones(len(size), dtype=bool)
+        inner[[0, -1]] = False  # the others are whole
+        skip = inner & (size < least)
+        if two and (pair := inner & (size == 2)).any():
+            at = (cuts[:-1][pair][:, None] + np.arange(2)).ravel()
+            yield True, {c: v[at] for c, v in cols.items()}
+            skip |= pair
+        for i in np.flatnonzero(~skip).tolist():
+            a, b = int(cuts[i]), int(cuts[i + 1])
+            if i == 0:
                 key = tuple(cols[k][0] for k in keys)
                 if held and key != last:
-                    yield whole(held)
+                    yield False, whole(held)
                     held = []
             elif held:
-                yield whole(held)
+                yield False, whole(held)
                 held = []
             held.append({c: v[a:b] for c, v in cols.items()})
         last = tuple(cols[k][n - 1] for k in keys)
     if held:
-        yield whole(held)
+        yield False, whole(held)
+
+
+Columns = dict[str, np.ndarray]
 
 
-def map_runs(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], fn: Callable[[Columns], Columns | None], schema: str, pairs: Callable[[Columns], Columns | None] | None = None, least: int = 1) -> DataFrame:
     """fn over every group of equal, non-null keys; cheaper than a grouped map when most groups are tiny.
 
-    fn gets the group's columns as arrays and returns columns. Callers bound the size of a group beforehand.
+    fn gets the group's columns as arrays and returns columns. pairs, if given, gets many groups of two rows at once, one
+    after another. Groups of fewer than least rows may be left out. Callers bound the size of a group beforehand.
     """
+    small_batches(df.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[dict[str, np.ndarray]] = []
         n = 0
-        for group in runs(batches, keys):
-            got = fn(group)
+        for two, group in runs(batches, keys, least, pairs is not None):
+            got = pairs(group) if two else fn(group)
             if got is not None:
                 out.append(got)
                 n += len(next(iter(got.values())))
@@ -120,5 +149,6 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]
                 out, n = [], 0
         if out:
             yield pd.DataFrame({c: np.concatenate([g[c] for g in out]) for c in out[0]})
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, schema)

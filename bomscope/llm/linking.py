@@ -1,30 +1,37 @@
 """Exact connectivity from shared buckets: which ids are linked, where links only occur between ids of one bucket.
 
-Buckets may be of any size. A bucket is compared in blocks of bounded size. Pairs already known to be connected are
+Buckets may be of any size. What is alone in its bucket goes after one shuffle, for which every task sends one of the many
+entries that it holds of a bucket. A bucket is compared in blocks of bounded size. Pairs already known to be connected are
 skipped, so a group of near copies costs about one comparison a member. In the first phase every bucket is dealt into
 blocks at random, independently, and compared inside the blocks; in the second, only buckets that still hold more than
-one component are compared across their blocks, again only between different components.
+one component are dealt anew, a large component's members to blocks of their own, and only blocks of different components
+and of sizes that can link meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_runs, stash
+from .common import discard, map_runs, small_batches, stash
 from .components import components
 
 BLOCK = 192
-#: Keys that are sent to all executors at most (16 MB); more are joined by shuffling.
-SENT_KEYS = 2_000_000
+#: Keys that are sent to all executors at most (8 MB); more are joined by shuffling.
+SENT_KEYS = 500_000
+#: Of a bucket that a batch has more often than this, one entry stands for all until it is known which buckets are shared.
+LOCAL = 32
 
 #: compare(data, side, known): pairs (i, j) that link directly; known[i] == known[j] or equal sides >= 0 need no answer.
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int]]]
 #: may(sketches, side, known): which members could link with another that isn't known to be connected.
 May = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
+#: pairs(data of groups of two, one group after another): whether each pair links. For many groups at once.
+Pairs = Callable[[list[bytes]], np.ndarray]
 
 
 def only(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
@@ -37,7 +44,40 @@ def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, col, "left_anti")
 
 
-def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare) -> DataFrame:
+def shared(signed: DataFrame) -> DataFrame:
+    """signed(id long, buckets array<long>) -> distinct (bucket, id) of the buckets that more than one id has."""
+    small_batches(signed.sparkSession)
+
+    def entries(hot: bool) -> DataFrame:
+        """hot: what a batch alone shows to be in a large bucket; else one entry of each of these, and all others."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(0)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                if not len(flat):
+                    continue
+                ids = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
+                order = np.argsort(flat, kind="stable")
+                flat, ids = flat[order], ids[order]
+                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                size = np.diff(np.append(first, len(flat)))
+                many = np.repeat(size > LOCAL, size)
+                if hot:
+                    own = many
+                else:
+                    own = ~many
+                    own[first] = True
+                yield pa.RecordBatch.from_arrays([pa.array(flat[own]), pa.array(ids[own])], names=["bucket", "id"])
+
+        return signed.select("buckets", "id").mapInArrow(run, "bucket long, id long")
+
+    dealt = entries(False).repartition("bucket")  # read twice, dealt once
+    several = dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
+    return dealt.join(several.hint("merge"), "bucket", "left_semi").unionByName(entries(True)).distinct()
+
+
+def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare, pairs: Pairs | None = None) -> DataFrame:
     def run(g: dict) -> dict | None:
         ids, side = g["id"], g["side"]
         if len(ids) < 2 or side[0] >= 0 and (side == side[0]).all():
@@ -45,7 +85,15 @@ def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Com
         got = compare(g["data"].tolist(), side, g["known"])
         return {"a": ids[[i for i, _ in got]], "b": ids[[j for _, j in got]]} if got else None
 
-    return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long")
+    def run_pairs(g: dict) -> dict | None:
+        """Groups of two at once, as columns: every even row and the one after it."""
+        a, b = g["id"][::2], g["id"][1::2]
+        own = (g["known"][::2] != g["known"][1::2]) & ((g["side"][::2] < 0) | (g["side"][::2] != g["side"][1::2]))
+        data = g["data"].reshape(-1, 2)[own].ravel().tolist()
+        link = pairs(data) if data else np.empty(0, dtype=bool)
+        return {"a": a[own][link], "b": b[own][link]} if link.any() else None
+
+    return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long", run_pairs if pairs else None, 2)
 
 
 def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may: May | None, tag: str) -> DataFrame:
@@ -60,56 +108,79 @@ def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may:
         return {c: g[c][own] for c in (*keys, "id", "side", "known")} if own.any() else None
 
     schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in (*keys, "id", "side", "known"))
-    return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema), tag)
-
-
-def linked(entries: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None) -> DataFrame:
-    """entries(bucket long, id long, repeats allowed) -> (id, component) of ids with at least one link.
-
-    payload_of(ids) gives (id, data) of a table of ids. Buckets with the same members are compared once. With sketches
-    (id, sketch) and may(), the data of a member is only fetched where its sketch leaves a link possible.
+    return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema, least=2), tag)
+
+
+def _across(rest: DataFrame, block: int) -> DataFrame:
+    """rest(bucket, id, size, known) -> (bucket, p, q, id, side, known): members beside those of other components in their
+    bucket whose sizes can link, block by block. A component of a block or more has blocks of its own, which never meet."""
+    kind = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1.25))).cast("int")
+    own = rest.groupBy("bucket", "known").agg(F.count("*").alias("n")).where(F.col("n") >= block).select("bucket", "known", F.col("known").alias("label"))
+    rest = rest.withColumn("kind", kind).join(own, ["bucket", "known"], "left")
+    counts = rest.groupBy("bucket", "label", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = stash(counts, "counts")
+    part = lambda no: F.xxhash64("label", "kind", no)
+    found = counts.select(F.col("bucket").alias("b"), F.col("label").alias("l"), F.col("kind").alias("k"), "blocks")
+    dealt = rest.join(found, F.expr("bucket = b and kind = k and label <=> l"))
+    dealt = dealt.select("bucket", "id", "known", part(F.pmod(F.xxhash64("id", "bucket"), "blocks").cast("int")).alias("part"))
+    blocks = counts.select("bucket", "label", "kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")).select("bucket", "label", "kind", part("no").alias("part"))
+    one, two = (blocks.select("bucket", F.col("label").alias(f"label_{x}"), F.col("kind").alias(f"kind_{x}"), F.col("part").alias(x)) for x in "pq")
+    meet = one.join(two, "bucket").where("p <= q and abs(kind_p - kind_q) <= 1 and (label_p is null or label_q is null or label_p <> label_q)").select("bucket", "p", "q")
+    meet = stash(meet, "meet")
+    ends = meet.select("*", F.col("p").alias("part"), F.when(F.col("p") == F.col("q"), -1).otherwise(0).alias("side"))
+    ends = ends.unionByName(meet.where("p <> q").select("*", F.col("q").alias("part"), F.lit(1).alias("side")))
+    return dealt.join(ends, ["bucket", "part"]).select("bucket", "p", "q", "id", "side", "known")
+
+
+def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None, pairs: Pairs | None = None) -> DataFrame:
+    """signed(id long, size int, buckets array<long>, repeats allowed) -> (id, component) of ids with at least one link.
+
+    Ids link only if the smaller size is at least 0.8 of the larger. payload_of(ids) gives (id, data) of a table of ids, an
+    id perhaps more than once. Buckets with the same members are compared once. With sketches (id, sketch) and may(), the
+    data of a member is only fetched where its sketch leaves a link possible. pairs: compare for many groups of two.
     """
-    spread = entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    shared = stash(spread.select("bucket"), "shared")
-    members = stash(only(entries, shared, "bucket").distinct(), "members")
+    members = stash(shared(signed), "members")
     mark = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    alike = mark.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    alike = mark.where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     alike = stash(alike.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "buckets")
     members_of = members.join(alike, "bucket").withColumn("part", F.pmod(F.xxhash64("id", "bucket"), "blocks").cast("int"))
     chosen = stash(members_of.select("bucket", "blocks", "part", "id"), "chosen")
-    discard(members, shared, alike)
+    discard(members, alike)
 
     def fetch(rows: DataFrame) -> DataFrame:
-        return stash(payload_of(stash(rows.select("id").distinct(), "ids")), "payload")
+        ids = stash(rows.select("id").distinct(), "ids")
+        return payload_of(ids)
 
     first = chosen.select("bucket", "part", "id", F.lit(-1).alias("side"), F.col("id").alias("known"))
-    first = _able(first, sketches, ["bucket", "part"], may, "able")
+    able = first = _able(first, sketches, ["bucket", "part"], may, "able")
     if sketches is None:
-        edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare), "links")
+        edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare, pairs), "links")
     else:
         # Most links show when every id is compared in one of its buckets alone, which like ids tend to choose alike. Only
         # blocks that then still hold several components are compared as a whole, so that data is hardly sent twice.
         home = first.groupBy("id").agg(F.min("bucket").alias("bucket"))
         alone = first.join(home, ["id", "bucket"], "left_semi").select(*first.columns)
-        one = stash(_edges(alone, fetch(alone), ["bucket", "part"], compare), "links")
+        one = stash(_edges(alone, fetch(alone), ["bucket", "part"], compare, pairs), "links")
         found = stash(components(one), "found")
         again = first.drop("known").join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
         apart = again.groupBy("bucket", "part").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
         again = again.join(stash(apart.select("bucket", "part"), "apart"), ["bucket", "part"], "left_semi").select(*first.columns)
-        again = _able(again, sketches, ["bucket", "part"], may, "able")
-        edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare)), "links")
-        discard(one, found)
+        again = _able(again, sketches, ["bucket", "part"], may, "again")
+        edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare, pairs)), "links")
+        discard(one, found, again, able)
     found = components(edges)
     split = chosen.where("blocks > 1")
     if split.isEmpty():
+        discard(chosen)
         return found
     found = stash(found, "found")
-    known = split.join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
+    known = split.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("known"))
     open_ = known.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("bucket")
     rest = known.join(stash(open_, "open"), "bucket", "left_semi")
-    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> part")
-    pairs = other.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", F.col("part").alias("side"), "known")
+    sizes = signed.select("id", "size").dropDuplicates(["id"])
+    rest = stash(rest.join(sizes, "id").select("bucket", "id", "size", "known"), "rest")
+    discard(chosen, found)
     keys = ["bucket", "p", "q"]
-    pairs = _able(pairs, sketches, keys, may, "able")
-    more = _edges(pairs, fetch(pairs), keys, compare)
+    across = _able(_across(rest, block), sketches, keys, may, "across")
+    more = _edges(across, fetch(across), keys, compare, pairs)
     return components(edges.unionByName(more))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, stash, table, texts
 from .components import Sets, components
-from .linking import linked, only
+from .linking import SENT_KEYS, linked, only
 from .shingles import shingle_set, word_hashes
 
 #: An n-gram that a batch of a task holds this often is reported; the most frequent of those reported, at most KEPT, come
@@ -162,13 +162,18 @@ def ordered(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~own], s[own] | _LAST])
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame:
+def name(raw: bytes, seed: int) -> int:
+    """A set's id, or with another seed its check."""
+    return xxhash.xxh3_64_intdigest(raw, seed=seed) - 2**63
+
+
+def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, for links of at least 0.8 between sets of k-word shingles.
 
     A null or empty text, or one of white space, has an empty set, links with nothing and is its own component. Equal sets
     link. Rows that repeat a doc_id count as one document with each of its texts. A null doc_id links with nothing and has
     a null component. An empty table gives an empty result; other columns are ignored. N-grams and sets are identified by
-    64-bit hashes; should two different sets share one, as a second hash shows, all is done anew with another seed.
+    64-bit hashes; sets that share one, as a second hash shows, are known by the second.
     """
     spark = docs.sparkSession
     rows = texts(docs)
@@ -180,7 +185,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
             out = []
             for doc_id, s in _sets(pdf, k):
                 raw = s.tobytes()
-                sig = xxhash.xxh3_64_intdigest(raw, seed=digest_seed) - 2**63
+                sig, check = name(raw, 0), name(raw, 1)
                 n = len(s)
                 prefix = sketch = None
                 if n and sig not in seen and not pd.isna(doc_id):
@@ -189,27 +194,39 @@ def jaccard_join(docs: DataFrame, k: int = 5, digest_seed: int = 0) -> DataFrame
                     seen.add(sig)
                     prefix = ordered(s, last.value)[: n - -(-4 * n // 5) + 1].view(np.int64)
                     sketch = parity(s)
-                out.append((doc_id, n, sig, xxhash.xxh3_64_intdigest(raw, seed=digest_seed + 1) - 2**63, prefix, sketch))
+                out.append((doc_id, n, sig, check, prefix, sketch))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "prefix", "sketch"]).astype({"doc_id": "Int64"})
 
     all_rows = stash(rows.mapInPandas(run, "doc_id long, n_shingles long, id long, check long, prefix array<long>, sketch binary"), "sets")
-    marked = all_rows.where("n_shingles > 0 and doc_id is not null")
+    marks = lambda every: every.where("n_shingles > 0 and doc_id is not null")
+    marked = marks(all_rows)
     classes = stash(marked.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")
-    if not classes.where("c1 <> c2").isEmpty():
-        return jaccard_join(docs, k, digest_seed + 2)
+    # Of n sets some n * n / 2**65 share an id: none, or so few that each can have its other hash for an id.
+    twins = {r.id for r in classes.where("c1 <> c2").select("id").limit(SENT_KEYS + 1).collect()}
+    if len(twins) > SENT_KEYS:
+        raise ValueError("too many sets share a 64-bit hash")
+    if twins:
+        again = F.broadcast(spark.createDataFrame([(i, True) for i in twins], "id long, clash boolean"))
+        all_rows = all_rows.join(again, "id", "left").withColumn("id", F.when(F.col("clash"), F.col("check")).otherwise(F.col("id"))).drop("clash")
+        marked = marks(all_rows)
+        classes = stash(marked.groupBy("id").agg(F.min("doc_id").alias("low")), "classes")
 
     def payload_of(ids: DataFrame) -> DataFrame:
         def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts(batches):
-                got = [(xxhash.xxh3_64_intdigest(s.tobytes(), seed=digest_seed) - 2**63, ordered(s, last.value).tobytes()) for _, s in _sets(pdf, k) if len(s)]
+            for pdf in parts(batches, 200):
+                got = []
+                for _, s in _sets(pdf, k):
+                    if len(s):
+                        sig = name(s.tobytes(), 0)
+                        got.append((name(s.tobytes(), 1) if sig in twins else sig, ordered(s, last.value).tobytes()))
                 yield pd.DataFrame(got, columns=["id", "data"])
 
         wanted = stash(classes.join(ids, "id", "left_semi").select(F.col("low").alias("doc_id")).distinct(), "wanted")
-        return only(rows, wanted, "doc_id").mapInPandas(full, "id long, data binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return only(rows, wanted, "doc_id").mapInPandas(full, "id long, data binary")
 
-    entries = all_rows.where("prefix is not null").select(F.explode("prefix").alias("bucket"), "id")
+    signed = all_rows.where("prefix is not null").select("id", F.col("n_shingles").cast("int").alias("size"), F.col("prefix").alias("buckets"))
     sketches = all_rows.where("sketch is not null").select("id", "sketch").dropDuplicates(["id"])
-    found = linked(entries, payload_of, compare_sets, sketches=sketches, may=may_link)
+    found = linked(signed, payload_of, compare_sets, sketches=sketches, may=may_link)
     of_class = stash(classes.join(found, "id", "left").select("id", "low", F.coalesce("component", "id").alias("component")), "of_class")
     least = of_class.groupBy("component").agg(F.min("low").alias("least"))
     named = of_class.join(least, "component").select("id", "least")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bomscope.llm.components import components
 from bomscope.llm.embedding_dedup import embedding_dedup
 from bomscope.llm.exact_dedup import exact_dedup, salted
-from bomscope.llm.line_dedup import line_dedup, shingles
+from bomscope.llm.line_dedup import line_dedup, pairs_link
 from bomscope.llm.trie_join import Trie, jaccard_join, may_link, parity
 
 DOCS = "doc_id long, text string, n long, id string, key string, component string"
@@ -144,6 +144,24 @@ def test_parity_never_loses_a_link_and_the_trie_finds_what_pairs_find():
         assert {j for j in tree.near(sets[i], lambda some: False) if j != i} == want
 
 
+def shingles(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def test_pairs_of_lines_are_compared_exactly():
+    rng = random.Random(12)
+    data, want = [], []
+    for _ in range(400):
+        a = "".join(rng.choices("ab c", k=rng.randrange(1, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            b[rng.randrange(len(b))] = rng.choice("abé")
+        b = "".join(b)
+        data += [a.encode(), b.encode()]
+        want.append(5 * len(shingles(a) & shingles(b)) >= 4 * len(shingles(a) | shingles(b)))
+    assert pairs_link(data).tolist() == want and 50 < sum(want) < 350
+
+
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(4)
     lines = []
