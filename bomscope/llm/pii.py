@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what four plain expressions find. The words around a seed make lexical patterns; other strings of an
-identifier's shape that stand in the same patterns are instances to be judged. Spark scores the bipartite graph in turns:
-a pattern is worth the share of its instances that are believed, an instance is believed by the patterns it stands in.
-Strings in patterns of high confidence are added; seeds always stay. Text is read in one pass; all that follows works on
-the few strings that look like identifiers.
+Seeds are what four plain expressions find. The words around a string of an identifier's shape, and that shape, make its
+lexical patterns. Spark scores the bipartite graph of patterns and strings in turns: a pattern is worth the share of its
+strings that are believed, reckoned cautiously when they are few, and needs several such strings; patterns of high
+confidence make the other strings in them believed. A string believed in one turn induces and supports the patterns of
+all its other places in the next, so that what no seed ever stood in is reached too. Seeds always stay. Text is read in
+one pass; all that follows works on the few strings that look like identifiers.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, stash, table, texts
+from .common import discard, parts, stash, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Distinct seeds a pattern must have, the confidence it must reach, what it is held against at first, and turns of scoring.
-SEEDS, CONFIDENCE, PRIOR, TURNS = 3, 0.75, 1.0, 3
+#: Distinct believed strings a pattern must have, the confidence that patterns and strings must reach, the number of
+#: standard deviations by which a share counts as lower than it was met, and turns of scoring.
+SEEDS, CONFIDENCE, DEVIATIONS, TURNS = 3, 0.75, 2.0, 4
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -148,14 +150,25 @@ def word_after(text: str, b: int) -> list[str]:
         n *= 4
 
 
+def outline(said: str) -> str:
+    """A string's shape: digits as 9, runs of letters as a, all else as it is."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", said))
+
+
 def patterns(text: str, a: int, b: int) -> list[int]:
-    """Hashes of the lexical patterns around text[a:b]: the two words before, and the word on each side."""
+    """Hashes of the lexical patterns around text[a:b]: the two words before it; the word on each side; one of these with
+    its shape."""
     left, right = [w.lower() for w in words_before(text, a)], [w.lower() for w in word_after(text, b)]
+    shape_ = outline(text[a:b])
     out = []
     if len(left) == 2:
         out.append(f"two {left[0]} {left[1]}")
     if left and right:
         out.append(f"sides {left[-1]} {right[0]}")
+    if left:
+        out.append(f"left {left[-1]} {shape_}")
+    if right:
+        out.append(f"right {right[0]} {shape_}")
     return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) - 2**63 for p in out]
 
 
@@ -184,42 +197,55 @@ def find(docs: DataFrame) -> DataFrame:
     return keyed.mapInPandas(run, f"key long, doc_id long, base array<{SPAN}>, marks array<{MARK}>")
 
 
-def discover(rows: DataFrame) -> DataFrame:
-    """(key, extra spans) that patterns of high confidence add to the rows of find()."""
-    marks = rows.select("key", F.explode("marks").alias("m")).select("key", "m.*")
-    edges = marks.groupBy("pattern", "instance", "kind", "seed").agg(F.count("*").alias("n"))
+def cautious(share: Column, n: Column) -> Column:
+    """The least share that n cases of which that share is believed still make likely (a score interval's lower end)."""
+    z = DEVIATIONS
+    spread = F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - z * spread) / (1 + z * z / n)
+
+
+def discover(marks: DataFrame) -> DataFrame:
+    """marks(pattern, instance, kind, seed) -> (instance, kind) of the strings that are believed without being seeds."""
+    edges = marks.groupBy("pattern", "instance", "kind", "seed").agg(F.count("*").alias("n")).drop("n")
     edges = stash(edges, "edges")
-    # A pattern without enough distinct seeds of a kind can never be trusted for it; that leaves few.
-    able = edges.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(f"seeds >= {SEEDS}")
-    able = stash(able.select("pattern", "kind"), "able")
-    live = stash(edges.join(able.select("pattern").distinct(), "pattern", "left_semi"), "live")
-    belief = live.where("seed").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
-    trust = None
+    # A pattern of fewer strings can never be trusted in any turn, one of seeds alone discovers nothing; few others are left.
+    able = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("new")).where(f"n > {SEEDS}").select("pattern", "n", "new")
+    live = stash(edges.join(stash(able.select("pattern"), "able"), "pattern", "left_semi"), "live")
+    seeds = stash(live.where("seed").select("instance", "kind", F.lit(1.0).alias("belief")).distinct(), "belief")
+    belief, trust = seeds, None
     for _ in range(TURNS):
-        known = live.join(belief, ["instance", "kind"], "left")
-        # Every instance of a pattern counts against it, those of other kinds too.
-        total = live.groupBy("pattern").agg(F.count("*").alias("all"))
-        trust = known.groupBy("pattern", "kind").agg(F.sum(F.coalesce("belief", F.lit(0.0))).alias("sure")).join(total, "pattern")
-        trust = trust.join(able, ["pattern", "kind"], "left_semi").select("pattern", "kind", (F.col("sure") / (F.col("all") + PRIOR)).alias("trust"))
-        trust = stash(trust, "trust")
+        known = live.join(belief, ["instance", "kind"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+        # Every string of a pattern counts against it, those of other kinds too.
+        own = [F.sum(F.when(F.col("kind") == k, F.col("belief")).otherwise(0.0)).alias(f"sure{k}") for k in range(len(KINDS))]
+        own += [F.count_if((F.col("kind") == k) & (F.col("belief") >= CONFIDENCE)).alias(f"seeds{k}") for k in range(len(KINDS))]
+        per = known.groupBy("pattern").agg(F.count("*").alias("n"), *own)
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"sure{k}").alias("sure"), F.col(f"seeds{k}").alias("seeds")) for k in range(len(KINDS))])
+        per = per.select("pattern", "n", F.explode(kinds).alias("k")).where(F.col("k.seeds") >= SEEDS)
+        per = per.select("pattern", F.col("k.kind").alias("kind"), cautious(F.col("k.sure") / F.col("n"), F.col("n")).alias("trust"))
+        old, trust = trust, stash(per.where(F.col("trust") >= CONFIDENCE), "trust")
         doubt = live.where("not seed").join(trust, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))).alias("doubt"))
-        belief = live.where("seed").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0)).unionByName(doubt.select("instance", "kind", (1 - F.exp("doubt")).alias("belief")))
-        belief = stash(belief.groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "belief")
-    sure = stash(trust.where(f"trust >= {CONFIDENCE}").select("pattern", "kind"), "sure")
-    found = marks.where("not seed").join(sure, ["pattern", "kind"], "left_semi")
-    return found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("extra"))  # spans of one document
+        last, belief = belief, stash(seeds.unionByName(doubt.select("instance", "kind", (1 - F.exp("doubt")).alias("belief"))).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "belief")
+        discard(old, last if last is not seeds else None)
+    sure = stash(belief.where(F.col("belief") >= CONFIDENCE).select("instance", "kind").join(seeds, ["instance", "kind"], "left_anti"), "sure")
+    discard(edges, live, seeds, belief, trust)
+    return sure
 
 
 def pii(docs: DataFrame) -> DataFrame:
     """Per row: key, doc_id, base and spans, arrays of (start, kind number, end) by start, then kind, in code points, end exclusive.
 
     Null and empty texts have none. Rows that repeat share their spans; null doc_ids pass through. An added span overlaps
-    no base span. An empty table gives an empty result; other columns are ignored.
+    no base span; a string that is believed is added wherever it stands. An empty table gives an empty result; other
+    columns are ignored. Rows are known by doc_id and a 64-bit hash of doc_id and text.
     """
     rows = stash(find(docs), "found")
-    extra = stash(discover(rows), "extra")
+    marks = rows.select("key", "doc_id", F.explode("marks").alias("m")).select("key", "doc_id", "m.*")
+    sure = discover(marks.select("pattern", "instance", "kind", "seed"))
+    found = marks.where("not seed").join(sure, ["instance", "kind"], "left_semi")
+    extra = found.groupBy("key", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("extra"))  # spans of one document
+    extra = stash(extra.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "extra"), "extra")
     none = F.array().cast(f"array<{SPAN}>")
-    out = rows.join(extra, "key", "left").select("key", "doc_id", "base", F.coalesce("extra", none).alias("extra"))
+    out = rows.join(extra, F.expr("key = k and doc_id <=> d"), "left").select("key", "doc_id", "base", F.coalesce("extra", none).alias("extra"))
     return out.select("key", "doc_id", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
 
 
@@ -229,14 +255,18 @@ def as_text(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The input's rows and columns, every span found replaced by its kind in angle brackets (overlapping spans by the first's)."""
+    """The input's rows and columns, every span found replaced by its kind in angle brackets (overlapping spans by the first's).
+
+    Null and empty texts stay as they are, rows that repeat are all redacted alike, null ids too; an empty table stays empty.
+    """
     found = pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where(F.size("spans") > 0)
     own = "pii_key"
     while own in [c.lower() for c in docs.columns]:
         own += "_"
-    spans = own + "_spans"
-    found = found.select(F.col("key").alias(own), F.col("spans").alias(spans)).dropDuplicates([own])
-    wide = docs.withColumn(own, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit("")))).join(found, own, "left")
+    spans, doc = own + "_spans", own + "_doc"
+    found = found.select(F.col("key").alias(own), F.col("doc_id").alias(doc), F.col("spans").alias(spans)).dropDuplicates([own, doc])
+    key = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")))
+    wide = docs.join(found, (key == found[own]) & docs[id_col].cast("long").eqNullSafe(found[doc]), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def step(acc: Column, s: Column) -> Column:
