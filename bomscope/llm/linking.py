@@ -116,6 +116,7 @@ def _across(rest: DataFrame, block: int) -> DataFrame:
     bucket whose sizes can link, block by block. A component of a block or more has blocks of its own, which never meet."""
     kind = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / F.log(F.lit(1.25))).cast("int")
     own = rest.groupBy("bucket", "known").agg(F.count("*").alias("n")).where(F.col("n") >= block).select("bucket", "known", F.col("known").alias("label"))
+    own = stash(own, "large")  # written, so that the join deals both sides itself and Spark can split a large component
     rest = rest.withColumn("kind", kind).join(own, ["bucket", "known"], "left")
     counts = rest.groupBy("bucket", "label", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     counts = stash(counts, "counts")
