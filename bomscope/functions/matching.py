@@ -18,8 +18,14 @@ from . import text
 FUZZY_LENGTH = 4
 
 
-def _literal(values: list) -> Column:
-    return F.array(*map(F.lit, values))
+_MARK = "\u0001"
+
+
+def literal(values: list[str]) -> Column:
+    """A list of strings as one constant, however long it is; Spark folds the split once for each query."""
+    if not values or any(_MARK in v for v in values):
+        return F.array(*map(F.lit, values)).cast("array<string>")
+    return F.split(F.lit(_MARK.join(values)), _MARK)
 
 
 def let(value: Column, body) -> Column:
@@ -40,14 +46,16 @@ def match(norm: Column, synonyms: Mapping[str, list[str]], distance: int, rule,
     none = F.struct(F.lit(None).cast("string").alias("category"), F.lit("none").alias("method"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("synonym"))
     if not words:
         return none
-    place = F.map_from_arrays(_literal(list(first)), _literal(list(first.values())))
-    near = [(w, i) for i, (_, w, _) in enumerate(words) if not both_long or len(w) >= FUZZY_LENGTH]
-    listed = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for w, i in near])
-    categories, originals = _literal([c for c, _, _ in words]), _literal([o for _, _, o in words])
+    place = F.map_from_arrays(literal(list(first)), F.transform(literal([str(i) for i in first.values()]), lambda x: x.cast("int")))
+    near = [i for i, (_, w, _) in enumerate(words) if not both_long or len(w) >= FUZZY_LENGTH]
+    listed, at = literal([words[i][1] for i in near]), literal([str(i) for i in near])
+    categories, originals = literal([c for c, _, _ in words]), literal([o for _, _, o in words])
 
     def nearest(h: Column) -> Column:
-        apart = F.transform(listed, lambda s: F.struct(F.levenshtein(h, s["w"], distance).alias("d"), s["i"].alias("i")))
-        return F.when((F.length(h) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), F.array_min(F.filter(apart, lambda x: x["d"] >= 0)))
+        apart = F.transform(listed, lambda w, i: F.struct(F.levenshtein(h, w, distance).alias("d"), i.alias("i")))
+        best = F.array_min(F.filter(apart, lambda x: x["d"] >= 0))
+        best = F.struct(best["d"].alias("d"), F.get(at, best["i"]).cast("int").alias("i"))
+        return F.when((F.length(h) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), best)
 
     def named(hit: Column, method: str) -> Column:
         found = F.struct(F.get(categories, hit["i"]).alias("category"), F.lit(method).alias("method"), hit["d"].alias("distance"), F.get(originals, hit["i"]).alias("synonym"))

@@ -42,9 +42,14 @@ def audit(documents: DataFrame, rows: DataFrame, consensus: DataFrame, tableless
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """One row: rows, distinct pages, distinct sections in order, rows with warnings."""
+    """One row: rows, distinct pages, number of distinct sections, rows with warnings. The sections themselves: sections()."""
     section = F.nullif(F.col("source_section"), F.lit(""))
-    return rows.agg(F.count("*").alias("total_rows"), F.count_distinct("source_pdf", "source_page").alias("pages"), F.array_sort(F.collect_set(section)).alias("sections"), F.count_if(F.size("warnings") > 0).alias("rows_with_warnings"))
+    return rows.agg(F.count("*").alias("total_rows"), F.count_distinct("source_pdf", "source_page").alias("pages"), F.count_distinct(section).alias("n_sections"), F.count_if(F.size("warnings") > 0).alias("rows_with_warnings"))
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """(source_section) of all rows, each once, however many there are; order it for display."""
+    return rows.select("source_section").where("source_section <> ''").distinct()
 
 
 def fill_rates(rows: DataFrame) -> DataFrame:

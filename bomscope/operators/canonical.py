@@ -48,7 +48,7 @@ def project(rows: DataFrame, cfg: PostProcessing) -> DataFrame:
     warnings = [F.col("warnings"), F.array(quantity.warning("said", F.col("quantity")))]
     if pattern or wrong:
         wanted = text.blank("schematic_position") & (F.coalesce("description", F.lit("")) != "")
-        found = F.nullif(F.regexp_extract("description", pattern, 0), F.lit("")) if pattern else F.lit(None).cast("string")
+        found = F.nullif(F.regexp_extract("description", f"(?U){pattern}", 0), F.lit("")) if pattern else F.lit(None).cast("string")
         if wrong:
             warnings.append(F.array(F.when(wanted, F.lit(f"schematic_regex_invalid:{wrong}"))))
         out = out.withColumn("schematic_position", F.when(wanted, F.coalesce(found, "schematic_position")).otherwise(F.col("schematic_position")))
@@ -112,7 +112,7 @@ def search(rows: DataFrame, pdf: str | None = None, sections: list[str] | None =
     if sections:
         rows = rows.where(F.col("source_section").isin(sections))
     if text_search:
-        hit = F.contains(F.lower("description"), F.lit(text_search.lower())) if literal else F.col("description").rlike(f"(?iu){text_search}")
+        hit = F.contains(F.lower("description"), F.lit(text_search.lower())) if literal else F.col("description").rlike(f"(?iuU){text_search}")
         rows = rows.where(hit)
     return rows
 

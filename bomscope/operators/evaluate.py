@@ -1,13 +1,27 @@
-"""Found page ranges against expected ones.
+"""Found page ranges and rows against expected ones.
 
 expected and found: (doc, start_page, end_page), ends included.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a document must reach: fixed values."""
+
+    extra_pages: int = 2
+    boundary: int = 1
+    rows: float = 0.60
+    described: float = 0.70
+
 
 def overlaps(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of ranges of one document that share pages, and how many."""
@@ -33,3 +47,21 @@ def _pages(ranges: DataFrame) -> DataFrame:
 def extra_pages(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, extra) for each document with found pages that no expected range has."""
     return _pages(found).join(_pages(expected), ["doc", "page"], "left_anti").groupBy("doc").agg(F.count("*").alias("extra"))
+
+
+def acceptance(expected: DataFrame, found: DataFrame, rows: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """A row for each document with expected ranges: how its found ranges and its rows (source_pdf, description) do.
+
+    missed: expected ranges that no found one meets; wrong_ends: those whose best found range starts or ends more than the
+    limit away; extra: found pages that nobody expected; described: the share of rows with a description, null without
+    rows. accepted: all limits are kept, and no description has a replacement character.
+    """
+    limits = limits or Limits()
+    best = best_overlap(expected, found, limits.boundary).groupBy("doc").agg(
+        F.count("*").alias("ranges"), F.count_if(~F.col("found")).alias("missed"), F.count_if(F.col("found") & ~F.col("ends_right")).alias("wrong_ends"))
+    wanted = expected.groupBy("doc").agg(F.coalesce(F.sum("approx_rows"), F.lit(0)).alias("expected_rows"))
+    own = rows.groupBy(F.col("source_pdf").alias("doc")).agg(F.count("*").alias("rows"), F.avg((~blank("description")).cast("int")).alias("described"), F.count_if(F.col("description").contains("\ufffd")).alias("lost"))
+    out = best.join(wanted, "doc").join(extra_pages(expected, found), "doc", "left").join(own, "doc", "left").fillna(0, ["extra", "rows", "lost"])
+    enough = F.col("rows") >= F.floor(F.col("expected_rows") * limits.rows)
+    good = (F.col("missed") == 0) & (F.col("wrong_ends") == 0) & (F.col("extra") <= limits.extra_pages) & enough & (F.col("rows") > 0) & (F.col("described") >= limits.described) & (F.col("lost") == 0)
+    return out.select("doc", "ranges", "missed", "wrong_ends", "extra", "expected_rows", "rows", enough.alias("enough_rows"), "described", "lost", F.coalesce(good, F.lit(False)).alias("accepted"))

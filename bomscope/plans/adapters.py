@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.matching import literal
 from ..operators.tables import PRIMARY, SECONDARY
 
 HEADERS = [
@@ -47,7 +48,7 @@ def _place(o: str = "o") -> list[Column]:
 
 
 def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+    return literal(values)
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,28 +57,27 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct("rn", F.array("tag", "qty", "descr", "model", "maker", "note").alias("cells"))
     seen = F.col("l_partkey") % 4 != 0  # the second parser misses some rows
     grouped = own.groupBy("o").agg(F.array_sort(F.collect_list(row)).alias("one"), F.array_sort(F.collect_list(F.when(seen, row))).alias("two"))  # an order's lines
-    blank = _strings([""] * 6)
-    section = F.when(F.col("o") % 3 == 0, F.array(F.array(F.concat(F.lit("+S"), (F.col("o") % 10).cast("string")), *[F.lit("")] * 5)))
-    tail = F.when(F.col("o") % 4 == 1, F.array(blank))
+    o = F.col("o")
+    section = F.when(o % 3 == 0, F.array(F.array(F.concat(F.lit("+S"), (o % 10).cast("string")), *[F.lit("")] * 5)))
+    tail = F.when(o % 4 == 1, F.array(_strings([""] * 6)))
     none = F.array().cast("array<array<string>>")
-    kind = F.col("o") % 4
+    kind = o % 4
     headers = F.when(kind == 3, _strings(TITLE))
     for k in range(3):
         headers = F.when(kind == k, _strings(HEADERS[k])).otherwise(headers)
 
-    def main(parser: str, which: str) -> DataFrame:
-        body = F.concat(F.coalesce(section, none), F.transform(which, lambda x: x["cells"]), F.coalesce(tail, none))
-        out = grouped.select("o", F.lit(parser).alias("parser"), F.lit(0).alias("table_index"), headers.alias("headers"), body.alias("body")).where(F.size("body") > 0)
-        return out.withColumn("rows", F.when(F.col("o") % 4 == 3, F.concat(F.array(_strings(HEADERS[3])), "body")).otherwise(F.col("body"))).drop("body")
-
-    orders = grouped.select("o")
-    parts = [main(PRIMARY, "one"), main(SECONDARY, "two")]
-    for index, (heads, cells, every) in DECOYS.items():
-        parts.append(orders.where(F.col("o") % every == 0).select("o", F.lit(PRIMARY).alias("parser"), F.lit(index).alias("table_index"), _strings(heads).alias("headers"), F.array(_strings(cells)).alias("rows")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.where((F.col("parser") != PRIMARY) | (F.col("o") % 9 != 4))
+    def body(which: str) -> Column:
+        return F.concat(F.coalesce(section, none), F.transform(which, lambda x: x["cells"]), F.coalesce(tail, none))
+
+    def table(parser: str, index: int, heads: Column, rows: Column, there: Column) -> Column:
+        return F.when(there, F.struct(F.lit(parser).alias("parser"), F.lit(index).alias("table_index"), heads.alias("headers"), rows.alias("rows")))
+
+    titled = F.when(kind == 3, F.array(_strings(HEADERS[3]))).otherwise(none)
+    first = o % 9 != 4  # else the first parser is missing
+    both = grouped.select("o", headers.alias("headers"), body("one").alias("one"), body("two").alias("two"))
+    found = [table(PRIMARY, 0, F.col("headers"), F.concat(titled, "one"), first & (F.size("one") > 0)), table(SECONDARY, 0, F.col("headers"), F.concat(titled, "two"), F.size("two") > 0)]
+    found += [table(PRIMARY, i, _strings(heads), F.array(_strings(cells)), first & (o % every == 0)) for i, (heads, cells, every) in DECOYS.items()]
+    out = both.select("o", F.inline(F.array_compact(F.array(*found))))  # all of an order's tables from one row
     return out.select(*_place(), "parser", "table_index", "headers", "rows", F.size("headers").alias("n_cols"), F.size("rows").alias("n_rows"), "o")
 
 

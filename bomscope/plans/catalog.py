@@ -22,6 +22,8 @@ HEADER_WORDS = [
     "quantty", "modelnumber", "omschrijvng", "mount", "cost", "name", "date", "rate", "code", "page", "prop", "placement", "part number", "mpn", "no", "note",
     "unit", "size", "price", "remark", "Qty.", "Qty. :", "Pcs:", "AANTAL", "  Device\n Tag ", "Sr� No", "", "Description...", "Order  No.", "schematic/postion", "pos", "typ", "typo", "item list",
 ]
+#: Documents of the list without a single page.
+WITHOUT_PAGES = ["none 1", "none 2"]
 QUANTITIES = [
     "", "  ", " 7 ", "+5", "-3", "00012", "1_000", "1,5", "1,234", "1.", ".5", "1e3", "3m", "1x", "1d", "0x1A", "1 000", "1.234,5", "1,234,567", "12345678901234567890", "1__0", "_1", "1e", ".", "+", "-.5e-2", "7f", "it's", "a\"b",
 ]
@@ -52,6 +54,25 @@ def title_snippets(spark: SparkSession, d: str) -> DataFrame:
     return s.where("t.found").select("doc", "page", "t.snippet")
 
 
+def title_unicode(spark: SparkSession, d: str) -> DataFrame:
+    """The settings' own title patterns on titles parted by blanks of several alphabets, and in capitals with accents."""
+    gap = F.expr("element_at(array(' ', '\u00a0', '\u2003 ', '\n', '', '-'), int(p_partkey % 6) + 1)")
+    page = F.concat(F.lit("Sheet "), F.col("p_partkey").cast("string"), F.lit(": PARTS"), gap, F.lit("List, "), "p_name")
+    s = A.load(spark, d, "part").select("p_partkey", signals.title(page, C.signals.title).alias("t"))
+    return s.select("p_partkey", "t.score", F.col("t.count").alias("n_patterns"))
+
+
+def required_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose descriptions are missing, empty or blanks of any kind."""
+    said = F.expr("CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' \u00a0 ' WHEN 2 THEN NULL ELSE p_name END")
+    none = F.lit(None).cast("string")
+    row = [F.lit("d").alias("doc"), F.lit(1).alias("page"), F.col("p_partkey").alias("row_index"), F.lit("1").alias("quantity"), said.alias("description"), none.alias("device_tag"), F.col("p_type").alias("model_number")]
+    row += [none.alias(f) for f in ("manufacturer", "order_number", "schematic_position")]
+    rows = A.load(spark, d, "part").select(*row, F.create_map().cast("map<string,string>").alias("extra_fields"), F.array().cast("array<string>").alias("raw"))
+    out = canonical.require_fields(canonical.project(rows, E.post_processing), E.validation)
+    return out.select("row_index", "description", _joined("warnings").alias("warnings"))
+
+
 def header_normalize(spark: SparkSession, d: str) -> DataFrame:
     dirty = F.concat(F.lit("  "), F.initcap("p_name"), F.when(F.col("p_partkey") % 3 == 0, "\n\tNo. :").when(F.col("p_partkey") % 3 == 1, " :. ").otherwise(".:"), F.when(F.col("p_partkey") % 5 == 0, "�").otherwise(""))
     p = A.load(spark, d, "part").select("p_partkey", dirty.alias("h"))
@@ -112,8 +133,9 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top10_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The ten best pages of each document, which is what the operator is for."""
-    return runs.top_pages(_continued(spark, d)).select("doc", "page", "rank", "total_score")
+    """The ten best pages of each document, which is what the operator is for; five documents are bound as one of 40 pages."""
+    bound = _continued(spark, d).withColumn("page", F.expr("int(bigint(doc) % 5 * 8) + page")).withColumn("doc", F.expr("string(bigint(doc) div 5)"))
+    return runs.top_pages(bound).select("doc", "page", "rank", "total_score")
 
 
 def page_report(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +201,8 @@ def parse_quantity(spark: SparkSession, d: str) -> DataFrame:
 
 def _extracted(spark: SparkSession, d: str) -> lifecycle.Extracted:
     pages = A.page_runs(spark, d)
-    return lifecycle.extract(pages.select("doc").distinct(), A.raw_tables(spark, d), pages, None, E)
+    documents = pages.select("doc").distinct().unionByName(_literal(spark, WITHOUT_PAGES, "doc").select("doc"))
+    return lifecycle.extract(documents, A.raw_tables(spark, d), pages, None, E)
 
 
 def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -192,10 +215,12 @@ def validation_audit(spark: SparkSession, d: str) -> DataFrame:
     return a.select("source_pdf", "total_rows", "note", "rows_with_warnings", "encoding_warnings_total", _joined("consensus_warnings").alias("consensus"), _joined(F.col("pages_with_consensus_issues").cast("array<string>")).alias("issue_pages"), _joined(F.col("pages_without_table").cast("array<string>")).alias("tableless"), _joined("fields_never_populated").alias("never"))
 
 
+def _sectioned(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d).rows.withColumn("source_section", F.expr("CASE WHEN source_page % 3 = 0 THEN concat('S', source_page) END"))
+
+
 def metrics(spark: SparkSession, d: str) -> DataFrame:
-    labelled = _extracted(spark, d).rows.withColumn("source_section", F.expr("CASE WHEN source_page % 3 = 0 THEN concat('S', source_page) END"))
-    m = audit.metrics(labelled)
-    return m.select("total_rows", "pages", _joined("sections").alias("sections"), "rows_with_warnings")
+    return audit.metrics(_sectioned(spark, d))
 
 
 def fill_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -273,9 +298,28 @@ def page_spans(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc", "run_idx", reports.page_span().alias("span"))
 
 
+def run_lists(spark: SparkSession, d: str) -> DataFrame:
+    """All runs of a document as one text; a document whose number divides by 5 has none."""
+    r = A.page_runs(spark, d).groupBy("doc", "run_idx").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    every = r.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "pages"))), lambda x: x["pages"]).alias("runs"))
+    return every.select("doc", reports.run_list(F.when(F.expr("bigint(doc) % 5 = 0"), F.array().cast("array<array<int>>")).otherwise(F.col("runs"))).alias("said"))
+
+
+def acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges and rows made from orders against what is expected of them."""
+    expected, found = _ranges(spark, d)
+    rows = A.load(spark, d, "orders").selectExpr("string(o_orderkey div 6) AS source_pdf", "CASE WHEN o_custkey % 4 = 0 THEN '   ' WHEN o_custkey % 50 = 1 THEN 'a�' ELSE o_orderpriority END AS description")
+    out = evaluate.acceptance(expected.withColumn("approx_rows", F.expr("end_page - start_page")), found, rows)
+    return out.withColumn("described", F.round("described", 6))
+
+
+def section_names(spark: SparkSession, d: str) -> DataFrame:
+    return audit.sections(_sectioned(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    title_signal, title_snippet, title_snippets, header_normalize, header_match, column_header_signal, row_count_signal, vector_density, page_score, continuity, runs_islands, runs_fold, run_summary,
+    title_signal, title_snippet, title_snippets, title_unicode, required_fields, header_normalize, header_match, column_header_signal, row_count_signal, vector_density, page_score, continuity, runs_islands, runs_fold, run_summary,
     top10_pages, page_report, promote_header, select_table, parser_preference, consensus, pages_without_table, map_columns, merged_columns, section_rows, inherit_tag, extra_fields,
     parse_quantity, canonical_rows, validation_audit, metrics, fill_rates, search_filter, search_literal, union_docs, import_sheet, order_sheet, csv_rows, zone_tokens, section_labels,
-    page_sections, overlap_join, best_overlap, extra_pages, page_ranges, page_spans,
+    page_sections, overlap_join, best_overlap, extra_pages, page_ranges, page_spans, run_lists, acceptance, section_names,
 )}

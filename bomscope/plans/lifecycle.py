@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,10 +27,15 @@ class Extracted:
     sections: DataFrame
 
 
-def classify(pages: DataFrame, grids: DataFrame, cfg: ClassifierConfig | None = None) -> Classified:
-    """pages(doc, page, text, n_lines, n_curves, n_rects), grids(doc, page, table_index, grid)."""
+def classify(pages: DataFrame, grids: DataFrame, cfg: ClassifierConfig | None = None, extra: Mapping[str, signals.Signal] | None = None, passes: Mapping[str, signals.PostPass] | None = None) -> Classified:
+    """pages(doc, page, text, n_lines, n_curves, n_rects), grids(doc, page, table_index, grid).
+
+    extra and passes: signals of one page and of all pages beyond the built-in ones, by name (operators.signals).
+    """
     cfg = cfg or ClassifierConfig()
-    scores = signals.continuity(signals.page_scores(pages, grids, cfg), cfg.signals.continuity)
+    first = signals.page_scores(pages, grids, cfg, extra)
+    bonus = {n: (lambda s, f=f: f(first)) for n, f in (passes or {}).items()}  # as they were before any bonus
+    scores = signals.post_passes(signals.continuity(first, cfg.signals.continuity), bonus)
     return Classified(runs.cluster(scores, cfg), scores)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..config import CLASSIFIER_SYNONYMS, EXTRACTOR_SYNONYMS
-from .catalog import HEADER_WORDS, QUANTITIES, TITLES
+from ..config import CLASSIFIER_SYNONYMS, EXTRACTOR_SYNONYMS, Title
+from .catalog import HEADER_WORDS, QUANTITIES, TITLES, WITHOUT_PAGES
 
 
 def quote(s: str) -> str:
@@ -195,6 +195,11 @@ SQL: dict[str, str] = {
     "title_signal": "WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, concat_ws('|', " + ", ".join(f"CASE WHEN regexp_matches(text, {quote(p)}, 'i') THEN {quote(p)} END" for p in TITLES) + ") AS patterns, " + " + ".join(f"CAST(coalesce(regexp_matches(text, {quote(p)}, 'i'), false) AS INTEGER)" for p in TITLES) + " AS n_patterns FROM conversations) SELECT doc, page, CASE WHEN n_patterns > 0 THEN 3.0 ELSE 0.0 END AS score, n_patterns, patterns FROM h",
     "title_snippet": rf"SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, trim(regexp_replace(regexp_extract(text, '(?is).{{0,30}}?(?:{TITLES[0]}).{{0,30}}'), '\s+', ' ', 'g')) AS snippet FROM conversations WHERE regexp_matches(text, {quote(TITLES[0])}, 'i')",
     "title_snippets": "SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn + 1 AS INTEGER) AS page, trim(regexp_replace(CASE " + " ".join(rf"WHEN regexp_matches(text, {quote(p)}, 'i') THEN regexp_extract(text, {quote(f'(?is).{{0,30}}?(?:{p}).{{0,30}}')})" for p in TITLES) + r" END, '\s+', ' ', 'g')) AS snippet FROM conversations WHERE " + " OR ".join(f"regexp_matches(text, {quote(p)}, 'i')" for p in TITLES),
+    "title_unicode": f"""WITH t AS (SELECT p_partkey, 'Sheet ' || p_partkey || ': PARTS' || [' ', chr(160), chr(8195) || ' ', chr(10), '', '-'][p_partkey % 6 + 1] || 'List, ' || p_name AS page FROM part),
+h AS (SELECT p_partkey, {" + ".join(f"CAST(regexp_matches(replace(replace(page, chr(160), ' '), chr(8195), ' '), {quote(p)}, 'i') AS INTEGER)" for p in Title().patterns)} AS n_patterns FROM t)
+SELECT p_partkey, CASE WHEN n_patterns > 0 THEN 3.0 ELSE 0.0 END AS score, n_patterns FROM h""",
+    "required_fields": """WITH r AS (SELECT p_partkey AS row_index, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(160) || ' ' WHEN 2 THEN NULL ELSE p_name END AS said FROM part)
+SELECT row_index, CASE WHEN said = '' THEN NULL ELSE trim(replace(said, chr(160), ' ')) END AS description, CASE WHEN coalesce(trim(replace(said, chr(160), ' ')), '') = '' THEN 'required_field_missing:description' ELSE '' END AS warnings FROM r""",
     "header_normalize": r"""WITH s AS (
   SELECT p_partkey, '  ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || CASE p_partkey % 3 WHEN 0 THEN chr(10) || chr(9) || 'No. :' WHEN 1 THEN ' :. ' ELSE '.:' END || CASE WHEN p_partkey % 5 = 0 THEN '�' ELSE '' END AS h FROM part),
  n AS (SELECT p_partkey, lower(trim(regexp_replace(replace(h, '�', '.'), '\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(h, '\s+', ' ', 'g'))) AS c FROM s)
@@ -208,7 +213,7 @@ SELECT p_partkey, nullif(regexp_replace(x, '[:.\s]+$', ''), '') AS a, trim(regex
     "runs_islands": f"WITH {ISLANDS} SELECT doc, page, island FROM isl",
     "runs_fold": f"{FOLD} SELECT doc, island, part, page, array_to_string(prints, '|') AS prints FROM part",
     "run_summary": f"{FOLD}{_SUMMARY} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY start_page) - 1 AS INTEGER) AS run_idx, start_page, end_page, pages, round(mean_score, 6) AS mean_score, fingerprint, CAST(total_rows AS BIGINT) AS total_rows, round(greatest(0.0, least(1.0, mean_score / 20)), 6) AS confidence, strong_pages, weak_pages FROM run0 WHERE strong_pages > 0 AND total_rows >= 3",
-    "top10_pages": f"WITH {SCORES} SELECT * FROM (SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc ORDER BY total_score DESC, page) AS INTEGER) AS rank, total_score FROM final) WHERE rank <= 10",
+    "top10_pages": f"WITH {SCORES}, bound AS (SELECT CAST(CAST(doc AS BIGINT) // 5 AS VARCHAR) AS doc, CAST(CAST(doc AS BIGINT) % 5 * 8 + page AS INTEGER) AS page, total_score FROM final) SELECT * FROM (SELECT doc, page, CAST(row_number() OVER (PARTITION BY doc ORDER BY total_score DESC, page) AS INTEGER) AS rank, total_score FROM bound) WHERE rank <= 10",
     "page_report": f"WITH {SCORES} SELECT doc, page AS page_number, total_score, rows AS row_count, title, header AS column_header, row_score, density AS vector_density, bonus AS continuity FROM final",
     "promote_header": f"WITH {BODY} SELECT x.doc, x.page, t.parser, t.table_index, t.promoted, CASE t.table_index WHEN 1 THEN 'A|Qty|B' WHEN 2 THEN 'Item|Qty|Description|Type|Make|Foo' ELSE concat_ws('|', h0, h1, h2, h3, h4, h5) END AS headers, CAST(t.n_rows AS INTEGER) AS n_rows, t.n_cols FROM tabs t JOIN orders_ x ON x.o = t.o JOIN heads ON kind = t.o % 4",
     "select_table": f"WITH {BODY} SELECT x.doc, x.page, s.parser, s.table_index, CAST(s.n_rows AS INTEGER) AS n_rows, s.n_cols FROM sel s JOIN orders_ x ON x.o = s.o",
@@ -245,11 +250,11 @@ r AS (SELECT source_pdf, count(*) AS n, count(*) FILTER (WHERE warnings <> '') A
    max(device_tag IS NOT NULL) AS a, max(quantity IS NOT NULL) AS b, max(schematic_position IS NOT NULL) AS c FROM canon GROUP BY source_pdf),
 i AS (SELECT doc, string_agg(warning, '|' ORDER BY page) AS consensus, string_agg(page, '|' ORDER BY page) AS issue_pages FROM agree WHERE warning IS NOT NULL GROUP BY doc),
 l AS (SELECT doc, string_agg(page, '|' ORDER BY page) AS tableless FROM orders_ WHERE o NOT IN (SELECT o FROM sel) GROUP BY doc)
-SELECT d.doc AS source_pdf, CAST(coalesce(r.n, 0) AS INTEGER) AS total_rows, CAST(NULL AS VARCHAR) AS note, CAST(coalesce(r.w, 0) AS INTEGER) AS rows_with_warnings, CAST(coalesce(r.e, 0) AS INTEGER) AS encoding_warnings_total,
+SELECT d.doc AS source_pdf, CAST(coalesce(r.n, 0) AS INTEGER) AS total_rows, CASE WHEN d.doc NOT IN (SELECT doc FROM orders_) THEN 'no_page_runs_provided' END AS note, CAST(coalesce(r.w, 0) AS INTEGER) AS rows_with_warnings, CAST(coalesce(r.e, 0) AS INTEGER) AS encoding_warnings_total,
   coalesce(i.consensus, '') AS consensus, coalesce(i.issue_pages, '') AS issue_pages, coalesce(l.tableless, '') AS tableless,
   concat_ws('|', CASE WHEN NOT coalesce(r.a, false) THEN 'device_tag' END, CASE WHEN NOT coalesce(r.b, false) THEN 'quantity' END, CASE WHEN r.n IS NULL THEN 'description|manufacturer|model_number' END, 'order_number', CASE WHEN NOT coalesce(r.c, false) THEN 'schematic_position' END) AS never
-FROM (SELECT DISTINCT doc FROM orders_) d LEFT JOIN r ON r.source_pdf = d.doc LEFT JOIN i ON i.doc = d.doc LEFT JOIN l ON l.doc = d.doc""",
-    "metrics": f"WITH {ROWS} SELECT count(*) AS total_rows, count(DISTINCT (source_pdf, source_page)) AS pages, string_agg(DISTINCT CASE WHEN source_page % 3 = 0 THEN 'S' || source_page END, '|' ORDER BY CASE WHEN source_page % 3 = 0 THEN 'S' || source_page END) AS sections, count(*) FILTER (WHERE warnings <> '') AS rows_with_warnings FROM canon",
+FROM (SELECT DISTINCT doc FROM orders_ UNION ALL SELECT * FROM (VALUES {values([(x,) for x in WITHOUT_PAGES])}) v(doc)) d LEFT JOIN r ON r.source_pdf = d.doc LEFT JOIN i ON i.doc = d.doc LEFT JOIN l ON l.doc = d.doc""",
+    "metrics": f"WITH {ROWS} SELECT count(*) AS total_rows, count(DISTINCT (source_pdf, source_page)) AS pages, count(DISTINCT CASE WHEN source_page % 3 = 0 THEN 'S' || source_page END) AS n_sections, count(*) FILTER (WHERE warnings <> '') AS rows_with_warnings FROM canon",
     "fill_rates": f"WITH {ROWS}, u AS (SELECT source_pdf, unnest(['device_tag', 'quantity', 'description', 'manufacturer', 'model_number', 'order_number', 'schematic_position']) AS field, unnest([device_tag, quantity, description, manufacturer, model_number, order_number, schematic_position]) AS v FROM canon) SELECT source_pdf, field, round(avg(CASE WHEN v IS NULL THEN 0.0 ELSE 1.0 END), 6) AS filled FROM u GROUP BY source_pdf, field",
     "search_filter": f"WITH {ROWS} SELECT source_pdf, row_index, description FROM canon WHERE regexp_matches(description, 'see /1[0-9]|green', 'i')",
     "search_literal": f"WITH {ROWS} SELECT source_pdf, row_index, description FROM canon WHERE source_pdf = '3' AND contains(description, '/12.3')",
@@ -258,6 +263,20 @@ FROM (SELECT DISTINCT doc FROM orders_) d LEFT JOIN r ON r.source_pdf = d.doc LE
     "order_sheet": f"""WITH {_SHEET} SELECT source_pdf, row_index + 1 AS pos, aantal AS menge, eenheid AS me, left(omschrijving, 120) AS kunden_bezeichnung, coalesce(klantartikel, fabrikant || type_bestelnummer) AS kunden_artikel, type_bestelnummer AS bstnr,
   fabrikant AS lieferant, 'zie bstnr' AS typ, fabrikant AS hersteller, odc_code AS bmk, opmerking AS bemerkung, 'not used' AS seite_pfad, 0 AS beistellung, 'not used' AS einbau_ort, ean_code AS eannr, CAST(length(type_bestelnummer) AS INTEGER) AS lengte FROM sheet""",
     "csv_rows": f"WITH {ROWS} SELECT source_pdf, CAST(source_page AS VARCHAR) AS source_page, '' AS source_section, CAST(row_index AS VARCHAR) AS row_index, coalesce(device_tag, '') AS device_tag, coalesce(quantity, '') AS quantity, description, manufacturer, model_number, '' AS order_number, coalesce(schematic_position, '') AS schematic_position, extra_fields, raw_json AS raw, replace(warnings, '|', '; ') AS warnings FROM canon",
+    "section_names": f"WITH {ROWS} SELECT DISTINCT 'S' || source_page AS source_section FROM canon WHERE source_page % 3 = 0",
+    "run_lists": f"""WITH {_PAGES}, s AS (SELECT doc, run_idx, CASE WHEN min(page) = max(page) THEN CAST(min(page) AS VARCHAR) ELSE min(page) || '-' || max(page) END AS span FROM pg GROUP BY doc, run_idx)
+SELECT doc, CASE WHEN CAST(doc AS BIGINT) % 5 = 0 THEN '—' ELSE string_agg(span, ', ' ORDER BY run_idx) END AS said FROM s GROUP BY doc""",
+    "acceptance": f"""WITH {_ENDS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, exp_start, exp_end ORDER BY shared DESC, got_start, got_end) AS r FROM pairs) WHERE r = 1),
+x AS (SELECT d.doc, b.doc IS NOT NULL AS found, abs(d.exp_start - b.got_start) <= 1 AND abs(d.exp_end - b.got_end) <= 1 AS near FROM (SELECT DISTINCT * FROM e) d LEFT JOIN b ON b.doc = d.doc AND b.exp_start = d.exp_start AND b.exp_end = d.exp_end),
+m AS (SELECT doc, count(*) AS ranges, count(*) FILTER (WHERE NOT found) AS missed, count(*) FILTER (WHERE found AND NOT near) AS wrong_ends FROM x GROUP BY doc),
+gp AS (SELECT DISTINCT doc, unnest(generate_series(got_start, got_end)) AS page FROM g), ep AS (SELECT DISTINCT doc, unnest(generate_series(exp_start, exp_end)) AS page FROM e),
+ex AS (SELECT doc, count(*) AS extra FROM (SELECT * FROM gp EXCEPT SELECT * FROM ep) GROUP BY doc),
+w AS (SELECT doc, CAST(sum(exp_end - exp_start) AS BIGINT) AS expected_rows FROM e GROUP BY doc),
+rw AS (SELECT CAST(o_orderkey // 6 AS VARCHAR) AS doc, CASE WHEN o_custkey % 4 = 0 THEN '   ' WHEN o_custkey % 50 = 1 THEN 'a�' ELSE o_orderpriority END AS s FROM orders),
+r AS (SELECT doc, count(*) AS rows, avg(CASE WHEN trim(s) = '' THEN 0.0 ELSE 1.0 END) AS described, count(*) FILTER (WHERE contains(s, '�')) AS lost FROM rw GROUP BY doc),
+a AS (SELECT m.*, coalesce(ex.extra, 0) AS extra, w.expected_rows, coalesce(r.rows, 0) AS rows, r.described, coalesce(r.lost, 0) AS lost FROM m JOIN w USING (doc) LEFT JOIN ex USING (doc) LEFT JOIN r USING (doc))
+SELECT doc, ranges, missed, wrong_ends, extra, expected_rows, rows, rows >= floor(expected_rows * 0.6) AS enough_rows, round(described, 6) AS described, lost,
+  missed = 0 AND wrong_ends = 0 AND extra <= 2 AND rows >= floor(expected_rows * 0.6) AND rows > 0 AND described >= 0.7 AND lost = 0 AS accepted FROM a""",
     "zone_tokens": f"WITH {_WORDS} SELECT DISTINCT doc, page, token FROM w WHERE length(token) BETWEEN 2 AND 15 AND (i * 13 % 100 + 4 > 70 OR (i * 7 % 100 + 5 > 50 AND i * 13 % 100 < 15))",
     "section_labels": f"WITH {_WORDS}, k AS (SELECT DISTINCT doc, page, run_idx, token FROM w WHERE length(token) BETWEEN 2 AND 15){_LABELS} SELECT s.doc, s.run_idx, l.token AS label FROM size_ s LEFT JOIN labels_ l ON l.doc = s.doc AND l.run_idx = s.run_idx",
     "page_sections": f"WITH {_WORDS}, k AS (SELECT DISTINCT doc, page, run_idx, token FROM w WHERE length(token) BETWEEN 2 AND 15 AND (i * 13 % 100 + 4 > 70 OR (i * 7 % 100 + 5 > 50 AND i * 13 % 100 < 15))){_LABELS} SELECT t.doc, t.page, l.token AS source_section FROM t LEFT JOIN labels_ l ON l.doc = t.doc AND l.run_idx = t.run_idx",

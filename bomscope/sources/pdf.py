@@ -7,13 +7,13 @@ pages and grids; nothing after it knows about PDF.
 from __future__ import annotations
 
 import io
-import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import PRIMARY, SECONDARY
@@ -199,31 +199,53 @@ def read_libraries(data: bytes) -> Iterator[tuple[dict, list[tuple[str, int, lis
             yield row, grids
 
 
-def read_documents(spark: SparkSession, path: str, reader: Callable = read_plain, pattern: str = "*.pdf") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents(doc), pages, grids) of all files under a path; a document is known by its file's name.
+class Documents(NamedTuple):
+    """documents(doc), pages, grids, errors(doc, error): what one parse of every file gave."""
 
-    Both tables come from one parse: its rows are written where the caller persists or writes them. A file that can't be
-    read has no pages.
+    documents: DataFrame
+    pages: DataFrame
+    grids: DataFrame
+    errors: DataFrame
+
+
+def _names(spark: SparkSession, path: str) -> Column:
+    """A file's name below the folder given, so that files of one name in two folders stay apart; its whole path if the path is a pattern."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    root = given.getFileSystem(conf).makeQualified(given).toString().rstrip("/")
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731 - file:/a and file:///a are one
+    here, of = plain(F.col("path")), plain(F.lit(root))
+    inside = F.startswith(here, F.concat(of, F.lit("/")))
+    return F.when(here == of, F.element_at(F.split(here, "/"), -1)).when(inside, F.substring(here, F.length(of) + 2, F.length(here))).otherwise(here)
+
+
+def read_documents(spark: SparkSession, path: str, reader: Callable = read_plain, pattern: str = "*.pdf", keep: Callable[[DataFrame], DataFrame] | None = None) -> Documents:
+    """All files under a path; a document is known by its path below that.
+
+    Pages, grids and errors come from one parse, which keep() holds on to (DataFrame.persist unless given otherwise; a
+    function that writes and reads it again suits large collections). A file that fails in any way has no pages and one
+    error; the other files of its batch are read as usual.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    schema = f"{PAGES}, grids array<struct<parser:string,table_index:int,grid:array<array<string>>>>"
+    files = files.withColumn("doc", _names(spark, path))
+    schema = f"{PAGES}, grids array<struct<parser:string,table_index:int,grid:array<array<string>>>>, error string"
+    order = [c.split()[0] for c in PAGES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"], strict=True):
+            for doc, content in zip(pdf["doc"], pdf["content"], strict=True):
                 out = []
                 try:
                     for row, grids in reader(content):
-                        out.append({"doc": os.path.basename(path_), "width": None, "height": None, "n_lines": 0, "n_curves": 0, "n_rects": 0, **row, "grids": [{"parser": p, "table_index": i, "grid": g} for p, i, g in grids]})
-                except ValueError:
-                    continue
+                        words = [dict(zip(("x0", "y0", "x1", "y1", "word"), w, strict=True)) for w in row.get("words", [])]
+                        out.append({"doc": doc, "width": None, "height": None, "n_lines": 0, "n_curves": 0, "n_rects": 0, **row, "words": words, "grids": [{"parser": p, "table_index": i, "grid": g} for p, i, g in grids], "error": None})
+                except Exception as e:  # noqa: BLE001 - one bad file mustn't lose the others
+                    out = [dict.fromkeys(order) | {"doc": doc, "words": [], "grids": [], "error": f"{type(e).__name__}: {e}"}]
                 if out:
-                    frame = pd.DataFrame(out)
-                    frame["words"] = [[dict(zip(("x0", "y0", "x1", "y1", "word"), w, strict=True)) for w in ws] for ws in frame["words"]]
-                    yield frame[["doc", "page", "text", "width", "height", "n_lines", "n_curves", "n_rects", "words", "grids"]]
+                    yield pd.DataFrame(out, columns=[*order, "grids", "error"]).astype(dict.fromkeys(("page", "n_lines", "n_curves", "n_rects"), "Int64"))
 
-    parsed = files.select("path", "content").mapInPandas(run, schema)
-    documents = files.select(F.element_at(F.split("path", "/"), -1).alias("doc"))
-    grids = parsed.select("doc", "page", F.explode("grids").alias("g")).select("doc", "page", "g.parser", "g.table_index", "g.grid")
+    parsed = (keep or DataFrame.persist)(files.select("doc", "content").mapInPandas(run, schema))
+    good = parsed.where("error is null")
+    grids = good.select("doc", "page", F.explode("grids").alias("g")).select("doc", "page", "g.parser", "g.table_index", "g.grid")
     assert grids.columns == [c.split()[0] for c in GRIDS.split(", ")]
-    return documents, parsed.drop("grids"), grids
+    return Documents(files.select("doc"), good.drop("grids", "error"), grids, parsed.where("error is not null").select("doc", "error"))

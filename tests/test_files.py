@@ -5,13 +5,15 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from bomscope import __main__ as cli
+from bomscope.api import Reader, as_bytes
 from bomscope.config import Output
-from bomscope.operators import canonical
+from bomscope.operators import canonical, evaluate, signals
 from bomscope.plans import catalog
 from bomscope.sinks import files, reports
-from bomscope.sources import pdf, ranges, tables
+from bomscope.sources import pdf, ranges, tables, truth
 from bomscope.streaming.arrivals import watch
 
 ROW = "source_pdf string, source_page int, source_section string, row_index int, device_tag string, quantity struct<kind:string,i:decimal(38,0),d:double,s:string>, description string, manufacturer string, model_number string, order_number string, schematic_position string, extra_fields map<string,string>, raw array<string>, warnings array<string>"
@@ -89,6 +91,17 @@ def test_output_path():
     assert files.output_path("/x/a.b.pdf", None, "csv") == "/x/a.b.csv" and files.output_path("/x/a.pdf", "/y", "procos") == "/y/a_procos.xltm"
 
 
+def test_a_templates_other_cells_stay():
+    old = '<row r="1" ht="20"><c r="A1" t="s"><v>0</v></c></row><row r="2" spans="1:12"><c r="A2" s="3"/><c r="C2"><v>9</v></c><c r="L2"><f>A2*2</f></c></row><row r="4"><c r="A4"><v>7</v></c><c r="AA4"><v>8</v></c></row><row r="6"><c r="A6"><v>1</v></c></row>'
+    got = "".join(files.merge_rows(old, [[1, None, "x"], [2, "y", None], [3, None, None]]))
+    rows = re.findall(r'<row.*?</row>', got)
+    assert [re.search(r'r="(\d+)"', r)[1] for r in rows] == ["1", "2", "3", "4", "6"]
+    assert rows[0] == old[: len(rows[0])] and rows[4] == old[-len(rows[4]) :]
+    assert '<c r="A2" s="3"><v>1</v></c>' in rows[1] and "C2" in rows[1] and "<v>9</v>" not in rows[1] and '<c r="L2"><f>A2*2</f></c>' in rows[1] and 'spans="1:12"' in rows[1]
+    assert '<c r="A4"><v>3</v></c>' in rows[3] and '<c r="AA4"><v>8</v></c>' in rows[3] and "<v>7</v>" not in rows[3]
+    assert "".join(files.merge_rows(old, [])) == old and "".join(files.merge_rows("", [[5]])) == '<row r="2"><c r="A2"><v>5</v></c></row>'
+
+
 def test_ranges(spark):
     assert ranges.parse("33-35, 47") == [[33, 34, 35], [47]] and ranges.parse("35-33") == [[]] and ranges.parse(",,") == []
     with pytest.raises(ValueError):
@@ -128,7 +141,8 @@ def folder(tmp_path_factory):
 
 
 def test_pdf_pages(spark, folder):
-    documents, pages, grids = pdf.read_documents(spark, str(folder))
+    documents, pages, grids, errors = pdf.read_documents(spark, str(folder))
+    assert [(r.doc, r.error[:10]) for r in errors.collect()] == [("bad.pdf", "ValueError")]
     assert sorted(r.doc for r in documents.collect()) == ["a.pdf", "b.pdf", "bad.pdf"]
     got = {(r.doc, r.page): r for r in pages.collect()}
     assert set(got) == {("a.pdf", i) for i in range(1, 5)} | {("b.pdf", 1)}
@@ -137,11 +151,75 @@ def test_pdf_pages(spark, folder):
     assert grid[0] == ["Item", "Qty", "Description", "Type", "Supplier"] and grid[1] == ["-K0", "1", "Relay 0 /1.0", "T0", "Acme"] and len(grid) == 12
 
 
+def test_files_of_one_name_stay_apart_and_a_failing_file_harms_no_other(spark, tmp_path):
+    for d, n in (("x", 6), ("y", 11)):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "a.pdf").write_bytes(make_pdf([parts_page(n)]))
+    (tmp_path / "deep.pdf").write_bytes(b"deep")
+    calls = []
+
+    def reader(data):
+        if data == b"deep":
+            raise RecursionError("pages in a ring")
+        return pdf.read_plain(data)
+
+    found = pdf.read_documents(spark, str(tmp_path), reader)
+    assert sorted(r.doc for r in found.documents.collect()) == ["deep.pdf", "x/a.pdf", "y/a.pdf"]
+    assert {r.doc: len(r.grid) for r in found.grids.collect()} == {"x/a.pdf": 7, "y/a.pdf": 12}
+    assert [tuple(r) for r in found.errors.collect()] == [("deep.pdf", "RecursionError: pages in a ring")]
+    assert found.pages.count() == 2 and not calls
+
+
+def test_one_parse_for_pages_grids_and_errors(spark, folder):
+    counted = spark.sparkContext.accumulator(0)
+
+    def reader(data):
+        counted.add(1)
+        return pdf.read_plain(data)
+
+    found = pdf.read_documents(spark, str(folder), reader)
+    assert found.pages.count() == 5 and found.grids.count() > 0 and found.errors.count() == 1
+    assert counted.value == 3
+
+
+def test_signals_of_ones_own_and_passes_over_all_pages(spark, folder):
+    reader = Reader(spark, str(folder / "a.pdf"))
+
+    def fails_on_two(row):
+        if row["page"] == 2:
+            raise KeyError("nothing")
+        return 5
+
+    extra = {"wide": lambda p: F.when(p["width"] > 500, 1.5), "odd": signals.per_page(fails_on_two, "page"), "wrong": lambda p: p["no_such_column"]}
+    passes = {"first": lambda s: s.where("page = 1").selectExpr("doc", "page", "total_score + 100 AS score"), "broken": lambda s: s.select("nothing")}
+    plain = {r.page: r for r in reader.classify().scores.collect()}
+    got = {r.page: r for r in reader.classify(extra=extra, passes=passes).scores.collect()}
+    assert [got[2].odd.score, got[1].odd.score] == [0, 5] and "KeyError" in got[2].odd.error and got[1].odd.error is None
+    assert {r.wide.score for r in got.values()} == {1.5} and all(r.wrong.score == 0 and r.wrong.error for r in got.values())
+    assert got[3].total_score - plain[3].total_score == 6.5 and got[3].first.score == 0 and got[3].broken.error
+    assert got[1].first.score == plain[1].total_score - plain[1].continuity.score + 6.5 + 100
+
+
+def test_expected_ranges_and_acceptance(spark, tmp_path):
+    path = tmp_path / "truth.yaml"
+    path.write_text("pdf_dir: x\nfixtures:\n  - pdf: a.pdf\n    total_pages: 4\n    expected:\n      - pages: [2, 3]\n        title: Parts\n        approx_row_count: 17\n  - pdf: none.pdf\n    total_pages: 1\n")
+    documents, expected = truth.expected_runs(spark, str(path))
+    assert documents.count() == 2 and [tuple(r) for r in expected.collect()] == [("a.pdf", 2, 3, "Parts", 17)]
+    found = spark.createDataFrame([("a.pdf", 2, 4)], "doc string, start_page int, end_page int")
+    rows = lambda n, said: spark.createDataFrame([("a.pdf", said)] * n, "source_pdf string, description string")
+    check = lambda r, f=found: evaluate.acceptance(expected, f, r).first()
+    assert check(rows(10, "x")).accepted and check(rows(10, "x")).extra == 1
+    assert not check(rows(9, "x")).enough_rows and not check(rows(10, " ")).accepted and not check(rows(10, "\ufffd")).accepted
+    assert check(rows(10, "x"), found.where("end_page = 0")).missed == 1
+    with pytest.raises(ValueError):
+        truth.expected_runs(spark, {"fixtures": [{"pdf": "a", "expected": [{"pages": [3, 2]}]}]})
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["classify", str(folder / "a.pdf"), "--json"]) == 0
     found = json.loads(capsys.readouterr().out)
     assert [(r["start_page"], r["end_page"], r["total_rows"]) for r in found["runs"]] == [(2, 3, 17)] and len(found["page_scores"]) == 4
-    assert cli.main(["classify", str(folder / "a.pdf")]) == 0 and "pages 2-3" in capsys.readouterr().out
+    assert cli.main(["classify", str(folder / "a.pdf")]) == 0 and "from page 2 to 3, 17 rows" in capsys.readouterr().out
     assert cli.main(["classify", str(folder / "none.pdf")]) == 2
     assert cli.main(["extract", str(folder / "a.pdf"), "--format", "csv", "--output", str(tmp_path)]) == 0
     assert (tmp_path / "a.csv").read_text("utf-8-sig").count("Relay") == 2 * 17
@@ -153,8 +231,18 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert cli.main(["extract", str(folder / "none.pdf")]) == 1
 
 
+def test_one_call_for_the_content_of_a_file(spark, folder):
+    reader = Reader(spark, str(folder))
+    found = reader.extract(reader.found_runs())
+    assert as_bytes(found, "a.pdf", "csv").decode("utf-8-sig").count("Relay") == 2 * 17
+    assert json.loads(as_bytes(found, "a.pdf", "json"))["total_rows"] == 17
+    assert zipfile.is_zipfile(io.BytesIO(as_bytes(found, "a.pdf", "xlsx")))
+    with pytest.raises(ValueError):
+        as_bytes(found, "a.pdf", "doc")
+
+
 def test_arrivals(spark, folder, tmp_path):
-    _, pages, grids = pdf.read_documents(spark, str(folder))
+    _, pages, grids, _ = pdf.read_documents(spark, str(folder))
     pages.coalesce(1).write.parquet(f"{tmp_path}/pages")
     grids.write.parquet(f"{tmp_path}/grids")
     own = tables.read_grids(spark, f"{tmp_path}/grids")
@@ -171,4 +259,6 @@ def test_search_and_union(rows):
 def test_spans(spark):
     df = spark.createDataFrame([([3, 4],), ([7],), ([],)], "pages array<int>")
     assert [r[0] for r in df.select(reports.page_span()).collect()] == ["3-4", "7", "—"]
+    many = spark.createDataFrame([([[3, 4], [7], []],), ([[]],), (None,), ([[1, 2, 3], [9, 10]],)], "runs array<array<int>>")
+    assert [r[0] for r in many.select(reports.run_list("runs")).collect()] == ["3-4, 7", "—", "—", "1-3, 9-10"]
     assert len(catalog.QUERIES) > 40
