@@ -51,7 +51,10 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete stashed tables that nothing will read any more."""
+    """Delete stashed tables that nothing will read any more, and let Spark's cleaner find the shuffles behind them: it
+    removes those that the driver's garbage collector has met."""
+    if any(df is not None for df in tables):
+        next(df for df in tables if df is not None).sparkSession._jvm.System.gc()
     for df in tables:
         path = getattr(df, "_stash_path", None)
         if path:

@@ -44,13 +44,38 @@ def without(rows: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= SENT_KEYS else keys, col, "left_anti")
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, id, sure) sorted by bucket and id: those whose bucket has another id, and the sure ones, each once."""
+    held: tuple[int, int, bool] | None = None  # the last row so far, and whether it was passed on
+    for batch in batches:
+        bucket, id_, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(bucket):
+            continue
+        if held:
+            bucket, id_, sure = np.append(held[0], bucket), np.append(held[1], id_), np.append(False, sure)
+        like = bucket[1:] == bucket[:-1]
+        last = np.append(~(like & (id_[1:] == id_[:-1])), True)  # of equal rows
+        sure = np.logical_or.reduceat(sure, np.flatnonzero(np.append(True, last[:-1])))
+        done = held is not None and held[2]  # the first row, or its copies, went out already
+        bucket, id_ = bucket[last], id_[last]
+        like = bucket[1:] == bucket[:-1]
+        own = sure | np.append(False, like) | np.append(like, False)
+        if done:
+            own[0] = False
+        held = (int(bucket[-1]), int(id_[-1]), bool(own[-1]) or done and len(bucket) == 1)
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(id_[own])], names=["bucket", "id"])
+
+
 def shared(signed: DataFrame) -> DataFrame:
-    """signed(id long, buckets array<long>) -> distinct (bucket, id) of the buckets that more than one id has."""
+    """signed(id long, buckets array<long>) -> (bucket, id) of the buckets that more than one id has; a row may come twice.
+
+    One shuffle: rows are dealt by bucket and sorted there. Of what a batch has more than LOCAL times, one row goes that way
+    and the others are known to share a bucket already.
+    """
     small_batches(signed.sparkSession)
 
     def entries(hot: bool) -> DataFrame:
-        """hot: what a batch alone shows to be in a large bucket; else one entry of each of these, and all others."""
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lists = batch.column(0)
@@ -60,21 +85,22 @@ def shared(signed: DataFrame) -> DataFrame:
                 ids = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
                 order = np.argsort(flat, kind="stable")
                 flat, ids = flat[order], ids[order]
-                first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+                first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
                 size = np.diff(np.append(first, len(flat)))
                 many = np.repeat(size > LOCAL, size)
                 if hot:
-                    own = many
-                else:
-                    own = ~many
-                    own[first] = True
-                yield pa.RecordBatch.from_arrays([pa.array(flat[own]), pa.array(ids[own])], names=["bucket", "id"])
+                    many[first] = False
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[many]), pa.array(ids[many])], names=["bucket", "id"])
+                    continue
+                sure = np.zeros(len(flat), dtype=bool)
+                sure[first] = size > LOCAL
+                own = ~many | sure
+                yield pa.RecordBatch.from_arrays([pa.array(flat[own]), pa.array(ids[own]), pa.array(sure[own])], names=["bucket", "id", "sure"])
 
-        return signed.select("buckets", "id").mapInArrow(run, "bucket long, id long")
+        return signed.select("buckets", "id").mapInArrow(run, "bucket long, id long" + ", sure boolean" * (not hot))
 
-    dealt = entries(False).repartition("bucket")  # read twice, dealt once
-    several = dealt.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    return dealt.join(several.hint("merge"), "bucket", "left_semi").unionByName(entries(True)).distinct()
+    dealt = entries(False).repartition("bucket").sortWithinPartitions("bucket", "id")
+    return dealt.mapInArrow(_several, "bucket long, id long").unionByName(entries(True))
 
 
 def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare, pairs: Pairs | None = None) -> DataFrame:
@@ -96,7 +122,7 @@ def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Com
     return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long", run_pairs if pairs else None, 2)
 
 
-def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may: May | None, tag: str) -> DataFrame:
+def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may: May | None, tag: str, may_pairs: Pairs | None = None) -> DataFrame:
     """members without those that, by their sketches, can't link with another of their block."""
     if sketches is None:
         return members
@@ -107,8 +133,13 @@ def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may:
         own = may(g["sketch"].tolist(), g["side"], g["known"])
         return {c: g[c][own] for c in (*keys, "id", "side", "known")} if own.any() else None
 
+    def run_pairs(g: dict) -> dict | None:
+        own = (g["known"][::2] != g["known"][1::2]) & ((g["side"][::2] < 0) | (g["side"][::2] != g["side"][1::2]))
+        own = np.repeat(own & may_pairs(g["sketch"].tolist()), 2)
+        return {c: g[c][own] for c in (*keys, "id", "side", "known")} if own.any() else None
+
     schema = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in (*keys, "id", "side", "known"))
-    return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema, least=2), tag)
+    return stash(map_runs(members.join(sketches, "id").select(*keys, "id", "side", "known", "sketch"), keys, run, schema, run_pairs if may_pairs else None, 2), tag)
 
 
 def _across(rest: DataFrame, block: int) -> DataFrame:
@@ -133,12 +164,13 @@ def _across(rest: DataFrame, block: int) -> DataFrame:
     return dealt.join(ends, ["bucket", "part"]).select("bucket", "p", "q", "id", "side", "known")
 
 
-def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None, pairs: Pairs | None = None) -> DataFrame:
+def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None, pairs: Pairs | None = None, may_pairs: Pairs | None = None, at_once: bool = False) -> DataFrame:
     """signed(id long, size int, buckets array<long>, repeats allowed) -> (id, component) of ids with at least one link.
 
     Ids link only if the smaller size is at least 0.8 of the larger. payload_of(ids) gives (id, data) of a table of ids, an
     id perhaps more than once. Buckets with the same members are compared once. With sketches (id, sketch) and may(), the
-    data of a member is only fetched where its sketch leaves a link possible. pairs: compare for many groups of two.
+    data of a member is only fetched where its sketch leaves a link possible. pairs and may_pairs: compare and
+    may for many groups of two. at_once: data is small, so all blocks are compared as a whole without a first round.
     """
     members = stash(shared(signed), "members")
     mark = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -153,8 +185,8 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
         return payload_of(ids)
 
     first = chosen.select("bucket", "part", "id", F.lit(-1).alias("side"), F.col("id").alias("known"))
-    able = first = _able(first, sketches, ["bucket", "part"], may, "able")
-    if sketches is None:
+    able = first = _able(first, sketches, ["bucket", "part"], may, "able", may_pairs)
+    if sketches is None or at_once:
         edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare, pairs), "links")
     else:
         # Most links show when every id is compared in one of its buckets alone, which like ids tend to choose alike. Only
@@ -166,7 +198,7 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
         again = first.drop("known").join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
         apart = again.groupBy("bucket", "part").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
         again = again.join(stash(apart.select("bucket", "part"), "apart"), ["bucket", "part"], "left_semi").select(*first.columns)
-        again = _able(again, sketches, ["bucket", "part"], may, "again")
+        again = _able(again, sketches, ["bucket", "part"], may, "again", may_pairs)
         edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare, pairs)), "links")
         discard(one, found, again, able)
     found = components(edges)
@@ -182,6 +214,6 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
     rest = stash(rest.join(sizes, "id").select("bucket", "id", "size", "known"), "rest")
     discard(chosen, found)
     keys = ["bucket", "p", "q"]
-    across = _able(_across(rest, block), sketches, keys, may, "across")
+    across = _able(_across(rest, block), sketches, keys, may, "across", may_pairs)
     more = _edges(across, fetch(across), keys, compare, pairs)
     return components(edges.unionByName(more))
