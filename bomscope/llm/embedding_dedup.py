@@ -1,7 +1,8 @@
 """Embedding near-deduplication by PCA-ordered tiled comparison.
 
 Unit vectors are turned into the basis of their second moments, largest first. Every label is cut into tiles along the
-first coordinate; tiles that stand too far apart there are never compared. Two tiles are compared on leading dimensions
+first coordinate; tiles whose boxes in the leading coordinates stand too far apart are never compared. What travels is
+the vector as given, once for each tile that its own may meet; tasks turn it again. Two tiles are compared on leading dimensions
 first: a pair goes on only while its partial product plus the product of the norms of what is left can reach the
 threshold. The turning only decides what to leave out, with a margin above its rounding; a link is decided by the
 cosine of the vectors as given, in double precision.
@@ -16,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_runs, stash, table
+from .common import discard, map_runs, small_batches, stash, table
 from .components import Sets, components
 
-TILE, BINS, SLACK = 768, 2048, 1e-9
+#: Components of a tile's vectors, cuts along the first coordinate, coordinates of a tile's box, room for rounding, and rows
+#: of a tile that are compared at once.
+TILE, BINS, BOX, SLACK, AT_ONCE = 1 << 18, 2048, 8, 1e-9, 512
 
 
 def moments(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -46,9 +49,14 @@ def moments(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _scaled(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    """Vectors in double precision, each times a power of two that brings its largest component near 1: no digit changes."""
     x = np.array(vectors.tolist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -72,16 +80,22 @@ def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, steps: tuple[int,
     return i, j
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int = TILE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Only vectors of one label (not null) and one number of dimensions are compared. A vector that is null, zero, empty or
     has a null or non-finite component, and one with a null vec_id or label, links with nothing: n_links 0, its own
     component, kept. Equal vectors are compared once and counted each. Rows that repeat a vec_id are vectors of their own
-    with one name. An empty table gives an empty result; other columns are ignored.
+    with one name. An empty table gives an empty result; other columns are ignored. tile: vectors of a tile, else as many as
+    TILE components make.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    if kind not in ("array<float>", "array<double>"):
+        kind = "array<double>"
+        rows = rows.withColumn("embedding", F.col("embedding").cast(kind))
+    small_batches(spark)
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     sound = F.coalesce(sound & F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.lit(False))
     rows = rows.withColumn("sound", sound)
@@ -96,39 +110,46 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
             for d, g in pdf.groupby("dim"):
                 y = _unit(g["embedding"]) @ basis.value[d]
                 bin_ = np.clip(((y[:, 0] + 1) * (BINS / 2)).astype(int), 0, BINS - 1).astype(np.int32)
-                yield g.assign(bin=bin_, first=y[:, 0], turned=list(y))
+                yield g.assign(bin=bin_, lead=list(y[:, :BOX]))
 
-    turned = stash(reps.mapInPandas(turn, "label string, dim int, embedding array<double>, rep long, m long, key long, bin int, first double, turned array<double>"), "turned")
+    turned = stash(reps.mapInPandas(turn, f"label string, dim int, embedding {kind}, rep long, m long, key long, bin int, lead array<double>"), "turned")
     # At most BINS rows for a label: runs of neighbouring bins are tiles, a bin over a tile's size is split.
+    size = F.lit(tile) if tile else F.greatest(F.lit(64), F.floor(F.lit(TILE) / F.col("dim")))
     bins = turned.groupBy("label", "dim", "bin").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("label", "dim").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.select("label", "dim", "bin", F.floor(before / tile).cast("int").alias("run"), F.ceil(F.col("n") / tile).cast("int").alias("splits"))
+    bins = bins.select("label", "dim", "bin", F.floor(before / size).cast("int").alias("run"), F.ceil(F.col("n") / size).cast("int").alias("splits"))
     tiled = turned.join(stash(bins, "bins"), ["label", "dim", "bin"]).withColumn("tile", F.col("run") * 4096 + F.pmod(F.xxhash64("key"), "splits"))
-    tiled = stash(tiled.select("label", "dim", "tile", "key", "rep", "m", "first", "embedding", "turned"), "tiles")
-    tiles = stash(tiled.groupBy("label", "dim", "tile").agg(F.min("first").alias("lo"), F.max("first").alias("hi")), "spans")
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6  # unit vectors with that cosine are no farther apart in any coordinate
-    one, two = (tiles.select("label", "dim", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "lo", "hi")]) for x in "ab")
-    pairs = one.join(two, ["label", "dim"]).where(f"tile_a <= tile_b and lo_b - hi_a <= {reach} and lo_a - hi_b <= {reach}").select("label", "dim", "tile_a", "tile_b")
-    pairs = stash(pairs, "pairs")
+    tiled = stash(tiled.select("label", "dim", "tile", "key", "rep", "m", "lead", "embedding"), "tiles")
+    ends = [f(F.get("lead", F.lit(i))).alias(f"{n}{i}") for i in range(BOX) for n, f in (("lo", F.min), ("hi", F.max))]
+    tiles = stash(tiled.groupBy("label", "dim", "tile").agg(*ends), "spans")
+    one, two = (tiles.select("label", "dim", *[F.col(c).alias(f"{c}_{x}") for c in tiles.columns[2:]]) for x in "ab")
+    zero = F.lit(0.0)
+    gaps = [F.coalesce(F.greatest(zero, F.col(f"lo{i}_b") - F.col(f"hi{i}_a"), F.col(f"lo{i}_a") - F.col(f"hi{i}_b")), zero) for i in range(BOX)]
+    reach = 2 - 2 * threshold + 1e-6  # unit vectors with that cosine are no farther apart, in any coordinates, squared
+    near = one.join(two, ["label", "dim"]).where((F.col("tile_a") <= F.col("tile_b")) & (sum((g * g for g in gaps), zero) <= reach))
+    pairs = stash(near.select("label", "dim", "tile_a", "tile_b"), "pairs")
     sides = pairs.select("*", F.col("tile_a").alias("tile")).unionByName(pairs.where("tile_a <> tile_b").select("*", F.col("tile_b").alias("tile")))
-    dealt = tiled.select("label", "dim", "tile", "key", "m", "embedding", "turned").join(sides, ["label", "dim", "tile"])
+    dealt = tiled.select("label", "dim", "tile", "key", "m", "embedding").join(sides, ["label", "dim", "tile"])
 
     def match(g: dict) -> dict | None:
         """Of a pair of tiles: links counted for each vector, and a forest of them."""
         own = g["tile"] == g["tile_a"]
         a = np.flatnonzero(own)
         b = a if own.all() else np.flatnonzero(~own)
-        y = np.array(g["turned"].tolist())
-        i, j = near_pairs(y[a], y[b], threshold)
-        i, j = a[i], b[j]
-        if b is a:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
-            return None
-        x = np.array(g["embedding"].tolist())
+        x = _scaled(g["embedding"])
         norm = np.sqrt((x * x).sum(axis=1))
-        link = np.einsum("nd,nd->n", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
-        i, j = i[link], j[link]
+        y = x / norm[:, None] @ basis.value[int(g["dim"][0])]
+        found = []
+        for lo in range(0, len(a), AT_ONCE):
+            rows = a[lo : lo + AT_ONCE]
+            others = a[lo:] if b is a else b
+            i, j = near_pairs(y[rows], y[others], threshold)
+            i, j = rows[i], others[j]
+            if b is a:
+                i, j = i[i < j], j[i < j]
+            link = np.einsum("nd,nd->n", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
+            found.append((i[link], j[link]))
+        i, j = (np.concatenate(z) for z in zip(*found, strict=True))
         if not len(i):
             return None
         m, key = g["m"], g["key"]
@@ -143,7 +164,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93, tile: int = TIL
         p, q = np.array(forest).T
         return {"a": np.concatenate([key[has], key[p]]), "b": np.concatenate([key[has], key[q]]), "n": np.concatenate([n[has], np.zeros(len(p), dtype=np.int64)])}
 
-    found = stash(map_runs(dealt, ["label", "dim", "tile_a", "tile_b"], match, "a long, b long, n long"), "found")
+    found = stash(map_runs(dealt, ["dim", "label", "tile_a", "tile_b"], match, "a long, b long, n long"), "found")
     counts = found.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     labels = components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("key"), "component")
     named = tiled.select("key", "label", "dim", "rep", "m", "embedding").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))

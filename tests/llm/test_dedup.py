@@ -219,12 +219,14 @@ def test_embedding_dedup_by_brute_force(spark):
         if i % 4 == 0:
             rows.append((1000 + i, (v + rng.standard_normal(12) * 0.11).tolist(), i % 3))
             rows.append((2000 + i, v.tolist(), i % 3))
+    rows += [(3000, [1e200 * x for x in rows[0][1]], 0), (3001, [1e-200 * x for x in rows[0][1]], 0)]
+    unit = {i: np.array(v) / np.abs(v).max() for i, v, _ in rows}
     odd = [(5000, None, 1), (5001, [0.0] * 12, 1), (5002, [float("nan")] + [1.0] * 11, 1), (5003, [None] + [1.0] * 11, 1), (5004, [float("inf")] * 12, 1), (5005, [1.0] * 12, None), (5006, [], 1), (5007, [1.0] * 5, 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int"), tile=16).collect()}
     links = []
     for a, x, la in rows:
         for b, y, lb in rows:
-            if a < b and la == lb and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
+            if a < b and la == lb and np.dot(unit[a], unit[b]) / np.linalg.norm(unit[a]) / np.linalg.norm(unit[b]) >= 0.93:
                 links.append((a, b))
     count = collections.Counter(x for e in links for x in e)
     root = union_find([r[0] for r in rows], links)
