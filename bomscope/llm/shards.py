@@ -15,11 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import parts as slices
 from .common import shared_dir, table, texts
 from .packing import encoder
 
@@ -28,7 +29,7 @@ NO_ID = -(2**63)
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = False) -> np.ndarray:
-    """A permutation of 0..n-1: a Feistel network over the next even number of bits, walked along its cycle until inside."""
+    """A permutation of 0..n-1, n up to 2**64: a Feistel network over the next even number of bits, walked along its cycle until inside."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     keys = [np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & (2**64 - 1)) for r in range(rounds)]
@@ -45,64 +46,67 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = F
         return (a << shift) | b
 
     out = once(np.asarray(index, dtype=np.uint64))
-    while (outside := out >= n).any():
+    while (outside := out > np.uint64(n - 1)).any():
         out[outside] = once(out[outside])
-    return out.astype(np.int64)
+    return out
+
+
+def places(ids: np.ndarray, parts: np.ndarray, span: int, key: int) -> np.ndarray:
+    """Where sequences stand: part k of the document at id (from 0 to span - 1) at the k-th keyed permutation of its id."""
+    out = np.empty(len(ids), dtype=np.uint64)
+    for k in np.unique(parts).tolist():
+        own = parts == k
+        out[own] = feistel(ids[own], span, key + k * 0x9E3779B9)
+    return out
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int = 512, shard_bytes: int = 16 << 20, key: int = 20_240_501, end_id: int = 50_256) -> int:
-    """Write the shards under path; how many there are.
-
-    A document is its ids and the end id, cut every seq_len tokens; a null or empty text is the end id alone. Part k of
-    document d of D (numbered by each task's share of the input) has the number k * D + d. The permutation of all such
-    numbers, up to the most parts that the longest text can have, gives it a place; shards are equal ranges of places, and
-    a sequence's global slot is its rank among the places taken. So one pass over the texts suffices, and nobody need know
-    the number of sequences before. A share that differs between the count of its documents and the pass fails the job
-    instead of writing a wrong order.
-    An empty table writes no shard. Repeated rows and null ids are written each for itself. Other columns are ignored.
+    """Write the shards under path; how many there are at most (one of few sequences may stay empty).
+
+    A document is its ids and the end id, cut every seq_len tokens; a null or empty text is the end id alone. Part k of the
+    document with id i has the place that the k-th keyed permutation of all ids from the least to the largest gives i;
+    sequences are ordered by place, then part, then content; shards are equal ranges of places, and a sequence's global slot
+    is its rank. The order depends on ids, texts and key alone, not on how the input is split, and one pass over the texts
+    suffices: nobody need know the number of sequences before.
+    An empty table writes no shard. Rows that repeat are written each for itself, side by side; rows with a null id stand
+    where a hash of their text says. Other columns are ignored.
     """
     rows = texts(docs)
-    mark = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0))
     size = F.octet_length("text").cast("long")
-    shares = rows.groupBy(F.spark_partition_id().alias("share")).agg(F.count("*").alias("n"), F.sum(mark).alias("ids"), F.sum(size).alias("bytes"), F.max(size).alias("longest"))
-    shares = shares.toPandas().sort_values("share")  # a row a task
-    if not len(shares):
+    known = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(size).alias("bytes")).first()
+    if not known["n"]:
         return 0
-    count = int(shares["n"].sum())
-    places = count * -(-(int(shares["longest"].max()) + 1) // seq_len)  # a text has no more tokens than bytes
-    n_shards = min(count, -(-int(shares["bytes"].sum() + count) // shard_bytes))
-    width = -(-places // n_shards)
-    base = dict(zip(shares["share"].tolist(), (shares["n"].cumsum() - shares["n"]).tolist(), strict=True))
-    known = dict(zip(shares["share"].tolist(), zip(shares["n"].tolist(), shares["ids"].tolist(), strict=True), strict=True))
+    low = known["low"] or 0
+    span = (known["high"] or 0) - low + 1
+    # As many shards as the texts' bytes fill at about four to a token.
+    width = min(2**64 - 1, -(-span // max(1, min(known["n"], span, -(-(known["bytes"] + known["n"]) // shard_bytes)))))
+    n_shards = -(-span // width)
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, squeeze = encoder(tokenizer_path), zstandard.ZstdCompressor(level=1).compress
-        share, n, ids = TaskContext.get().partitionId(), 0, 0
-        for pdf in batches:
+        for pdf in slices(batches, 500):
             head, part, number = [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
                 null = pd.isna(doc_id)
-                ids += 0 if null else zlib.crc32(str(int(doc_id)).encode())
+                at = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % span if null else int(doc_id) - low
                 tokens = np.asarray(encode(text), dtype="<u2").tobytes() + end
                 for k, a in enumerate(range(0, len(tokens), 2 * seq_len)):
                     part.append(tokens[a : a + 2 * seq_len])
                     head.append((NO_ID if null else int(doc_id), k, len(part[-1]) // 2))
-                    number.append(k * count + base[share] + n)
-                n += 1
-            place = feistel(np.array(number, dtype=np.uint64), places, key)
+                    number.append(at)
             raw = np.array(head, dtype=HEAD)
-            yield pd.DataFrame({"shard": (place // width).astype(np.int32), "place": place, "record": [squeeze(raw[j].tobytes() + x) for j, x in enumerate(part)]})
-        if (n, ids) != known.get(share, (0, 0)):
-            raise RuntimeError(f"share {share} of the input changed after it was counted")
+            place = places(np.array(number, dtype=np.uint64), raw["part"], span, key)
+            shard = (place // np.uint64(width)).astype(np.int32)
+            yield pd.DataFrame({"shard": shard, "place": (place ^ np.uint64(1 << 63)).view(np.int64), "part": raw["part"].astype(np.int32), "record": [squeeze(raw[j].tobytes() + x) for j, x in enumerate(part)]})
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full, open_up = HEAD.itemsize + 2 * seq_len, zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             yield pd.DataFrame({"shard": pdf["shard"], "value": [open_up(x).ljust(full, b"\xff") for x in pdf["record"]]})
 
-    dealt = rows.mapInPandas(deal, "shard int, place long, record binary")
-    dealt = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "place")
+    dealt = rows.mapInPandas(deal, "shard int, place long, part int, record binary")
+    dealt = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "place", "part", "record")
     dealt.mapInPandas(fill, "shard int, value binary").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
     return n_shards
 
