@@ -69,7 +69,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int =
     is its rank. The order depends on ids, texts and key alone, not on how the input is split, and one pass over the texts
     suffices: nobody need know the number of sequences before.
     An empty table writes no shard. Rows that repeat are written each for itself, side by side; rows with a null id stand
-    where a hash of their text says. Other columns are ignored.
+    where a hash of their text says (the least 64-bit number marks them in the files and is no id). Other columns are ignored.
     """
     rows = texts(docs)
     size = F.octet_length("text").cast("long")
