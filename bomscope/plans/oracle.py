@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..config import CLASSIFIER_SYNONYMS, EXTRACTOR_SYNONYMS, Title
+from ..config import CLASSIFIER_SYNONYMS, EXTRACTOR_SYNONYMS, ClassifierConfig, Title
+from . import adapters as A
 from .catalog import HEADER_WORDS, QUANTITIES, TITLES, WITHOUT_PAGES
 
 
@@ -82,29 +83,43 @@ agree AS (
   SELECT doc, page, CAST(p AS INTEGER) AS primary_rows, CAST(s AS INTEGER) AS secondary_rows,
     CASE WHEN abs(p - s) > 1 THEN 'page ' || page || ': pymupdf=' || p || ' pdfplumber=' || s || ' diff=' || abs(p - s) || ' tolerance=1' END AS warning FROM sides)"""
 
-#: What the page signals see: the primary parser's tables as grids, the header row first.
+#: Every header row there is, cell by cell; 0 to 3 by an order's number, 7 and 9 of the two small tables, matched against
+#: the settings' words by the rules of the page signals (hc) and of the column mapping (m).
+_HEADS = {**dict(enumerate(A.HEADERS)), 7: A.DECOYS[1][0], 9: A.DECOYS[2][0]}
+HEAD_CELLS = f"""{synonyms('cs', CLASSIFIER_SYNONYMS)}, {synonyms('es', EXTRACTOR_SYNONYMS)},
+hd(kind, i, raw) AS (VALUES {values([(k, i, h) for k, hs in _HEADS.items() for i, h in enumerate(hs)])}),
+hs AS (SELECT *, trim(regexp_replace(lower(replace(raw, '�', '.')), '\\s+', ' ', 'g')) AS s FROM hd),
+hn AS (SELECT kind, i, raw, nullif(regexp_replace(s, '[:.\\s]+$', ''), '') AS a, trim(regexp_replace(s, '[:.]+$', '')) AS norm FROM hs)"""
+CATEGORIES = f"""{HEAD_CELLS},
+hc AS (
+  SELECT * FROM (SELECT n.kind, n.i, n.raw, y.category, row_number() OVER (PARTITION BY n.kind, n.i ORDER BY n.a <> y.word, levenshtein(n.a, y.word), y.ord) AS r
+    FROM hn n JOIN cs y ON n.a = y.word OR length(n.a) >= 4 AND length(y.word) >= 4 AND levenshtein(n.a, y.word) <= 2) WHERE r = 1),
+hcat AS (SELECT kind, CAST(count(DISTINCT category) AS INTEGER) AS cats, array_to_string(list_sort(list_distinct(list(category))), '|') AS categories, string_agg(raw, '|' ORDER BY i) AS headers FROM hc GROUP BY kind)"""
+MAPPED = f"""{HEAD_CELLS},
+hit AS (
+  SELECT * FROM (SELECT n.kind, n.i, y.category AS field, CASE WHEN n.norm = y.word THEN 'exact' ELSE 'fuzzy' END AS method, levenshtein(n.norm, y.word) AS distance, y.word AS synonym,
+      row_number() OVER (PARTITION BY n.kind, n.i ORDER BY levenshtein(n.norm, y.word), y.ord) AS r
+    FROM hn n JOIN es y ON n.norm <> '' AND (n.norm = y.word OR length(n.norm) >= 4 AND levenshtein(n.norm, y.word) <= 2)) WHERE r = 1),
+place AS (SELECT n.*, h.field, h.method, h.distance, h.synonym, n.i = 0 AND h.field IS NULL AND n.kind NOT IN (SELECT kind FROM hit WHERE field = 'device_tag') AS first
+  FROM hn n LEFT JOIN hit h ON h.kind = n.kind AND h.i = n.i),
+m AS (SELECT kind, i, raw, norm, CASE WHEN first THEN 'device_tag' ELSE field END AS field, CASE WHEN first THEN 'positional' ELSE coalesce(method, 'none') END AS method, CAST(coalesce(distance, 0) AS INTEGER) AS distance, synonym FROM place)"""
+
+#: What the page signals see: the primary parser's tables as grids, the header row first. Of an order whose number leaves 3,
+#: the first row is a title and the header the second.
 GRIDS = BODY + """,
 seen AS (
-  SELECT o, 0 AS table_index, count(*) + CASE WHEN o % 4 = 3 THEN 2 ELSE 1 END AS size, 6 AS width, 5 AS cats,
+  SELECT o, 0 AS table_index, o % 4 AS kind, count(*) + CASE WHEN o % 4 = 3 THEN 2 ELSE 1 END AS size, 6 AS width,
     CAST(count(*) FILTER (WHERE pos NOT IN (0, 1000)) + CASE WHEN o % 4 = 3 THEN 1 ELSE 0 END AS INTEGER) AS n FROM body WHERE parser = 'pymupdf' GROUP BY o
-  UNION ALL SELECT o, 1, 2, 3, 1, 1 FROM orders_ WHERE o % 5 = 0 AND o % 9 <> 4
-  UNION ALL SELECT o, 2, 2, 6, 5, 1 FROM orders_ WHERE o % 7 = 0 AND o % 9 <> 4),
-sig AS (
-  SELECT x.o, x.doc, x.page, m.n IS NOT NULL AS has, CASE WHEN o2.k = 2 THEN 4 ELSE 5 END AS cats, o2.k AS kind,
-    CASE o2.k WHEN 0 THEN 'Item|Qty|Description|Type|Supplier' WHEN 1 THEN 'Pos.|Quantty|Omschrijvng|Model No|Fabrikant' WHEN 2 THEN 'Amount|Function text|Type number|Make|Designation' ELSE 'Tag|Pcs|Descr|Model|Brand' END AS heads_main,
-    m.n AS main_rows, (SELECT count(*) FROM seen s WHERE s.o = x.o) AS n_tables
-  FROM orders_ x JOIN (SELECT o, o % 4 AS k FROM orders_) o2 ON o2.o = x.o LEFT JOIN seen m ON m.o = x.o AND m.table_index = 0)"""
+  UNION ALL SELECT o, 1, 7, 2, 3, 1 FROM orders_ WHERE o % 5 = 0 AND o % 9 <> 4
+  UNION ALL SELECT o, 2, 9, 2, 6, 1 FROM orders_ WHERE o % 7 = 0 AND o % 9 <> 4)"""
 
-# Of two tables with five categories the first counts; where the main one has four (its tag column has no header) a decoy
-# with five is better.
-HEADER = GRIDS + """,
-head AS (
-  SELECT *, has AND kind = 2 AND o % 7 = 0 AS decoy FROM sig WHERE has),
+_H = ClassifierConfig().signals.column_header
+HEADER = f"""{GRIDS}, {CATEGORIES},
 head2 AS (
-  SELECT o, doc, page, 10.0 AS score, CASE WHEN decoy THEN 5 ELSE cats END AS categories_found, 'strong' AS qualification,
-    CASE WHEN kind = 2 AND NOT decoy THEN 'description|manufacturer|model|quantity' ELSE 'description|device_tag|manufacturer|model|quantity' END AS categories,
-    CASE WHEN decoy THEN 'Item|Qty|Description|Type|Make' ELSE heads_main END AS headers,
-    CASE WHEN decoy THEN 2 ELSE 0 END AS table_index, CASE WHEN kind = 3 THEN 1 ELSE 0 END AS header_row, n_tables AS tables_scanned FROM head)"""
+  SELECT o, doc, page, CASE WHEN cats >= {_H.strong_threshold} THEN {float(_H.strong_weight)} WHEN cats >= {_H.weak_threshold} THEN {float(_H.weak_weight)} ELSE 0.0 END AS score, cats AS categories_found,
+    CASE WHEN cats >= {_H.strong_threshold} THEN 'strong' WHEN cats >= {_H.weak_threshold} THEN 'weak' ELSE 'none' END AS qualification, categories, headers, table_index, header_row, tables_scanned
+  FROM (SELECT x.*, c.cats, c.categories, c.headers, s.table_index, CASE WHEN s.kind = 3 THEN 1 ELSE 0 END AS header_row, count(*) OVER (PARTITION BY s.o) AS tables_scanned,
+      row_number() OVER (PARTITION BY s.o ORDER BY c.cats DESC, s.table_index) AS r FROM seen s JOIN hcat c ON c.kind = s.kind JOIN orders_ x ON x.o = s.o) WHERE r = 1)"""
 
 COUNT = HEADER + """,
 cand AS (SELECT *, width >= 3 AND n >= 2 AS ok FROM seen),
@@ -220,21 +235,9 @@ SELECT p_partkey, nullif(regexp_replace(x, '[:.\s]+$', ''), '') AS a, trim(regex
     "parser_preference": f"WITH {BODY} SELECT x.doc, x.page, s.parser, s.table_index, CAST(s.n_rows AS INTEGER) AS n_rows FROM pref s JOIN orders_ x ON x.o = s.o",
     "consensus": f"WITH {AGREE} SELECT * FROM agree",
     "pages_without_table": f"WITH {BODY} SELECT doc, page FROM orders_ WHERE o NOT IN (SELECT o FROM sel)",
-    "map_columns": f"""WITH {BODY},
-m(kind, i, raw, norm, field, method, distance, synonym) AS (VALUES
-  (0, 0, 'Item', 'item', 'device_tag', 'exact', 0, 'item'), (0, 1, 'Qty', 'qty', 'quantity', 'exact', 0, 'qty'), (0, 2, 'Description', 'description', 'description', 'exact', 0, 'description'),
-  (0, 3, 'Type', 'type', 'model_number', 'exact', 0, 'type'), (0, 4, 'Supplier', 'supplier', 'manufacturer', 'exact', 0, 'supplier'), (0, 5, 'Foo', 'foo', NULL, 'none', 0, NULL),
-  (1, 0, 'Pos.', 'pos', 'device_tag', 'exact', 0, 'pos'), (1, 1, 'Quantty', 'quantty', 'quantity', 'fuzzy', 1, 'quantity'), (1, 2, 'Omschrijvng', 'omschrijvng', 'description', 'fuzzy', 1, 'omschrijving'),
-  (1, 3, 'Model No', 'model no', 'model_number', 'exact', 0, 'model no'), (1, 4, 'Fabrikant', 'fabrikant', 'manufacturer', 'exact', 0, 'fabrikant'), (1, 5, 'Foo', 'foo', NULL, 'none', 0, NULL),
-  (2, 0, '', '', 'device_tag', 'positional', 0, NULL), (2, 1, 'Amount', 'amount', 'quantity', 'exact', 0, 'amount'), (2, 2, 'Function text', 'function text', 'description', 'exact', 0, 'function text'),
-  (2, 3, 'Type number', 'type number', 'model_number', 'exact', 0, 'type number'), (2, 4, 'Make', 'make', 'manufacturer', 'exact', 0, 'make'), (2, 5, 'Designation', 'designation', 'description', 'exact', 0, 'designation'),
-  (3, 0, 'Tag', 'tag', 'device_tag', 'exact', 0, 'tag'), (3, 1, 'Pcs', 'pcs', 'quantity', 'exact', 0, 'pcs'), (3, 2, 'Descr', 'descr', 'description', 'exact', 0, 'descr'),
-  (3, 3, 'Model', 'model', 'model_number', 'exact', 0, 'model'), (3, 4, 'Brand', 'brand', 'manufacturer', 'exact', 0, 'brand'), (3, 5, 'Foo', 'foo', NULL, 'none', 0, NULL),
-  (9, 0, 'Item', 'item', 'device_tag', 'exact', 0, 'item'), (9, 1, 'Qty', 'qty', 'quantity', 'exact', 0, 'qty'), (9, 2, 'Description', 'description', 'description', 'exact', 0, 'description'),
-  (9, 3, 'Type', 'type', 'model_number', 'exact', 0, 'type'), (9, 4, 'Make', 'make', 'manufacturer', 'exact', 0, 'make'), (9, 5, 'Foo', 'foo', NULL, 'none', 0, NULL))
-SELECT x.doc, x.page, p.parser, p.table_index, m.i AS column_index, m.raw AS raw_header, m.norm AS normalized_header, m.field AS canonical_field, m.method AS match_method, m.distance AS match_distance, m.synonym AS matched_synonym
+    "map_columns": f"""WITH {BODY}, {MAPPED} SELECT x.doc, x.page, p.parser, p.table_index, m.i AS column_index, m.raw AS raw_header, m.norm AS normalized_header, m.field AS canonical_field, m.method AS match_method, m.distance AS match_distance, m.synonym AS matched_synonym
 FROM pref p JOIN orders_ x ON x.o = p.o JOIN m ON m.kind = CASE WHEN p.table_index = 2 THEN 9 ELSE p.o % 4 END""",
-    "merged_columns": f"WITH {BODY} SELECT x.doc, x.page, 'description' AS canonical_field, CAST(2 AS BIGINT) AS columns FROM pref p JOIN orders_ x ON x.o = p.o WHERE p.table_index = 0 AND p.o % 4 = 2",
+    "merged_columns": f"WITH {BODY}, {MAPPED} SELECT x.doc, x.page, m.field AS canonical_field, count(*) AS columns FROM pref p JOIN orders_ x ON x.o = p.o JOIN m ON m.kind = CASE WHEN p.table_index = 2 THEN 9 ELSE p.o % 4 END WHERE m.field IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
     "section_rows": f"WITH {ROWS} SELECT x.doc, x.page, k.row_pos, k.is_section_header, k.c0 AS first_cell FROM kept k JOIN orders_ x ON x.o = k.o",
     "inherit_tag": f"WITH {ROWS} SELECT x.doc, x.page, k.row_pos, coalesce(k.inherited, k.c0) AS device_tag, k.inherited AS inherited_device_tag FROM data k JOIN orders_ x ON x.o = k.o",
     "extra_fields": f"WITH {ROWS} SELECT x.doc, x.page, k.row_pos, k.descr AS description, k.extra FROM data k JOIN orders_ x ON x.o = k.o",
