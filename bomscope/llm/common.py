@@ -73,6 +73,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def map_rows(rows: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas for rows with a doc_id, which Python gets, and returns if the schema has it, as text: a null in a batch of
+    numbers would turn them all into floating point, which large ids don't survive."""
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(fn, schema.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")) if "doc_id" in out.columns else out
+
+
 def release() -> None:
     """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

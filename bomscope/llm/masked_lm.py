@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, texts
+from .common import map_rows, stash, table, texts
 from .shingles import word_hashes
 
 #: LEAST is the smallest size of a softmax; one id in SHARE is shared.
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 logs = np.concatenate([net.log_probs(around[i : i + BATCH], target[i : i + BATCH]) for i in range(0, len(target), BATCH)] or [np.empty(0)])
                 end = np.cumsum(sizes)
                 per_row = lambda x, end=end, sizes=sizes: (s := np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)]))[end] - s[end - sizes]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "doc_id": part["doc_id"].astype("Int64"), "n_tokens": sizes, "log_net": per_row(logs - of_shared[target]), "n_sharing": per_row((target >= net.own).astype(np.int64))})
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "doc_id": part["doc_id"], "n_tokens": sizes, "log_net": per_row(logs - of_shared[target]), "n_sharing": per_row((target >= net.own).astype(np.int64))})
 
     def sharing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, top, _, _ = pickle.loads(sent.value)
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"key": key, "word": word.view(np.int64)})
 
     keyed = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    rows = keyed.mapInPandas(run, "key long, doc_id long, n_tokens long, log_net double, n_sharing long")
+    rows = map_rows(keyed, run, "key long, doc_id long, n_tokens long, log_net double, n_sharing long")
     # A count of 1 adds nothing to the sum, so these and unknown words need no partner. Rows that repeat have equal means.
     known = model.counts.where("n > 1")
     parts = keyed.mapInPandas(sharing, "key long, word long").join(known, "word", "left").groupBy("key").agg(F.avg(F.log(F.coalesce("n", F.lit(1)))).alias("part"))

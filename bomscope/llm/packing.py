@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import discard, parts, stash, table, texts
+from .common import discard, map_rows, parts, stash, table, texts
 from .genetic import Solution, bins, evolve, fitness, load
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,9 +72,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
                     a = max(0, b - (capacity if k else first))
                     rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return texts(docs).mapInPandas(run, PIECES)
+    return map_rows(texts(docs), run, PIECES)
 
 
 def _number(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     # Deterministic numbers need a fixed order of equal rows; the numbered table is written so that a retry can't renumber half.
     numbered = stash(_number(rows, counts), "numbered")
     discard(rows)
-    return numbered.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return map_rows(numbered, place, f"{PIECES}, sequence_id long, offset long")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

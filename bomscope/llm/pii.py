@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, parts, stash, table, texts
+from .common import discard, map_rows, parts, stash, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -191,10 +191,10 @@ def find(docs: DataFrame) -> DataFrame:
                         own += [(p, name, a, kind, b, seed) for p in patterns(text, a, b)]
                 bases.append(base)
                 marks.append(own)
-            yield pd.DataFrame({"key": pdf["key"], "doc_id": pdf["doc_id"].astype("Int64"), "base": bases, "marks": marks})
+            yield pd.DataFrame({"key": pdf["key"], "doc_id": pdf["doc_id"], "base": bases, "marks": marks})
 
     keyed = texts(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    return keyed.mapInPandas(run, f"key long, doc_id long, base array<{SPAN}>, marks array<{MARK}>")
+    return map_rows(keyed, run, f"key long, doc_id long, base array<{SPAN}>, marks array<{MARK}>")
 
 
 def cautious(share: Column, n: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts as slices
-from .common import shared_dir, table, texts
+from .common import map_rows, shared_dir, table, texts
 from .packing import encoder
 
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<u4"), ("n_tokens", "<u4")])
@@ -87,7 +87,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int =
         encode, squeeze = encoder(tokenizer_path), zstandard.ZstdCompressor(level=1).compress
         for pdf in slices(batches, 500):
             head, part, number = [], [], []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 null = pd.isna(doc_id)
                 at = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % span if null else int(doc_id) - low
                 tokens = np.asarray(encode(text), dtype="<u2").tobytes() + end
@@ -105,7 +105,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, seq_len: int =
         for pdf in batches:
             yield pd.DataFrame({"shard": pdf["shard"], "value": [open_up(x).ljust(full, b"\xff") for x in pdf["record"]]})
 
-    dealt = rows.mapInPandas(deal, "shard int, place long, part int, record binary")
+    dealt = map_rows(rows, deal, "shard int, place long, part int, record binary")
     dealt = dealt.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "place", "part", "record")
     dealt.mapInPandas(fill, "shard int, value binary").select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(path)
     return n_shards

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, table, texts
+from .common import map_rows, release, small_batches, table, texts
 from .gru import Net, Scorer, train
 
 #: The sample: rows of each label, and the longest text taken (characters). Scoring has no such bounds.
@@ -61,11 +61,12 @@ def toxicity(docs: DataFrame, net: Net | None, name: str = "score") -> DataFrame
                 part = pdf.iloc[i : i + 512]
                 yield pd.DataFrame({"doc_id": part["doc_id"], name: scorer.score(part["text"].tolist()) if scorer else 0.0})
 
-    return texts(docs).mapInPandas(run, f"doc_id long, {name} double")
+    return map_rows(texts(docs), run, f"doc_id long, {name} double")
 
 
 def clean(docs: DataFrame, net: Net | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The input's rows whose text scores below the threshold, all their columns as they are. A null text stays."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

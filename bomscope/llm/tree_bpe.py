@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByWord, TreeBPE, load_ranks
-from .common import table, texts
+from .common import map_rows, table, texts
 
 
 @lru_cache(maxsize=2)
@@ -33,7 +33,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [words.ids(t) for t in pdf["text"]]})
 
-    return texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_rows(texts(docs), run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(ids: DataFrame, ranks_path: str) -> DataFrame:
@@ -44,7 +44,7 @@ def bpe_decode(ids: DataFrame, ranks_path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_bytes": [bpe.decode([] if x is None else list(x)) for x in pdf["ids"]]})
 
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInPandas(run, "doc_id long, text_bytes binary")
+    return map_rows(ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, text_bytes binary")
 
 
 def bpe_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -64,7 +64,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

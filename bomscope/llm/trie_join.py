@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, stash, table, texts
+from .common import map_rows, parts, stash, table, texts
 from .components import Sets, components
 from .linking import SENT_KEYS, linked, only
 from .shingles import shingle_set, word_hashes
@@ -195,9 +195,9 @@ def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
                     prefix = ordered(s, last.value)[: n - -(-4 * n // 5) + 1].view(np.int64)
                     sketch = parity(s)
                 out.append((doc_id, n, sig, check, prefix, sketch))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "prefix", "sketch"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "id", "check", "prefix", "sketch"])
 
-    all_rows = stash(rows.mapInPandas(run, "doc_id long, n_shingles long, id long, check long, prefix array<long>, sketch binary"), "sets")
+    all_rows = stash(map_rows(rows, run, "doc_id long, n_shingles long, id long, check long, prefix array<long>, sketch binary"), "sets")
     marks = lambda every: every.where("n_shingles > 0 and doc_id is not null")
     marked = marks(all_rows)
     classes = stash(marked.groupBy("id").agg(F.min("doc_id").alias("low"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")

@@ -13,9 +13,14 @@ from tokenizers import Tokenizer
 
 from bomscope.llm.bpe import ByWord, TreeBPE, load_ranks
 from bomscope.llm.genetic import bins, crossover, evolve, first_solution, load, mutate
+from bomscope.llm.exact_dedup import exact_dedup
+from bomscope.llm.masked_lm import fit, score
 from bomscope.llm.packing import encoding, library_encoder, op4_packing, pack
+from bomscope.llm.pii import pii
 from bomscope.llm.shards import feistel, read_shards, write_shards
+from bomscope.llm.toxicity import toxicity
 from bomscope.llm.tree_bpe import bpe_decode, bpe_digests, bpe_encode
+from bomscope.llm.trie_join import jaccard_join
 
 MULTI, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 with open(MULTI, "rb") as f:
@@ -46,6 +51,15 @@ def test_join_is_a_monoid(x, y):
     assert TREE.join(TREE.merge(x), TREE.merge(y)) == TREE.merge(x + y) == TREE.encode_bytes(x + y)
 
 
+def test_large_ids_beside_null_ones(spark):
+    """No operator may pass ids through floating point."""
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "one two three four five six"), (None, "a"), (big + 2, "x 1.2.3.4 y")], "doc_id long, text string").coalesce(1)
+    path = P.path("byte_bpe_50k.json")
+    for got in (bpe_digests(docs, MULTI), bpe_encode(docs, MULTI), pack(docs, path), pii(docs), jaccard_join(docs), toxicity(docs, None), exact_dedup(docs), score(docs, fit(docs, rounds=1))):
+        assert sorted((r.doc_id for r in got.select("doc_id").collect()), key=str) == sorted([big, None, big + 2], key=str)
+
+
 def test_bpe_of_a_table(spark):
     ids = bpe_encode(frame(spark), MULTI)
     got = sorted(((r.doc_id, list(r.ids)) for r in ids.collect()), key=str)
