@@ -138,17 +138,19 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 1, two:
 Columns = dict[str, np.ndarray]
 
 
-def map_runs(df: DataFrame, keys: list[str], fn: Callable[[Columns], Columns | None], schema: str, pairs: Callable[[Columns], Columns | None] | None = None, least: int = 1) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], fn: Callable[[Columns], Columns | None], schema: str, pairs: Callable[[Columns], Columns | None] | None = None, least: int = 1, prepare: Callable[[list], list] | None = None) -> DataFrame:
     """fn over every group of equal, non-null keys; cheaper than a grouped map when most groups are tiny.
 
     fn gets the group's columns as arrays and returns columns. pairs, if given, gets many groups of two rows at once, one
-    after another. Groups of fewer than least rows may be left out. Callers bound the size of a group beforehand.
+    after another. Groups of fewer than least rows may be left out. prepare makes of a batch's column data what fn gets.
+    Callers bound the size of a group beforehand.
     """
     small_batches(df.sparkSession)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[dict[str, np.ndarray]] = []
         n = 0
+        batches = (pdf.assign(data=pd.Series(prepare(pdf["data"].tolist()), index=pdf.index, dtype=object)) for pdf in batches) if prepare else batches
         for two, group in runs(batches, keys, least, pairs is not None):
             got = pairs(group) if two else fn(group)
             if got is not None:

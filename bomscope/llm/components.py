@@ -39,6 +39,29 @@ class Sets:
         return True
 
 
+class Labels:
+    """Components of a block's members by their labels, which are always up to date: of[i] == of[j] if i and j are connected."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        first: dict[int, int] = {}
+        self.of = [first.setdefault(c, i) for i, c in enumerate(known.tolist())]
+        self.members: dict[int, list[int]] = {}
+        for i, c in enumerate(self.of):
+            self.members.setdefault(c, []).append(i)
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = self.of[i], self.of[j]
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        moved = self.members.pop(b)
+        for k in moved:
+            self.of[k] = a
+        self.members[a] += moved
+        return True
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each batch's edges as a spanning forest: every vertex beside its smallest reachable one."""
     for pdf in batches:

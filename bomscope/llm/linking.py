@@ -30,7 +30,7 @@ LOCAL = 32
 Compare = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int]]]
 #: may(sketches, side, known): which members could link with another that isn't known to be connected.
 May = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
-#: pairs(data of groups of two, one group after another): whether each pair links. For many groups at once.
+#: pairs(sketches of groups of two, one group after another): whether each pair may link. For many groups at once.
 Pairs = Callable[[list[bytes]], np.ndarray]
 
 
@@ -103,7 +103,7 @@ def shared(signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_several, "bucket long, id long").unionByName(entries(True))
 
 
-def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare, pairs: Pairs | None = None) -> DataFrame:
+def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Compare, prepare: Callable[[list[bytes]], list] | None = None) -> DataFrame:
     def run(g: dict) -> dict | None:
         ids, side = g["id"], g["side"]
         if len(ids) < 2 or side[0] >= 0 and (side == side[0]).all():
@@ -111,15 +111,7 @@ def _edges(members: DataFrame, payload: DataFrame, keys: list[str], compare: Com
         got = compare(g["data"].tolist(), side, g["known"])
         return {"a": ids[[i for i, _ in got]], "b": ids[[j for _, j in got]]} if got else None
 
-    def run_pairs(g: dict) -> dict | None:
-        """Groups of two at once, as columns: every even row and the one after it."""
-        a, b = g["id"][::2], g["id"][1::2]
-        own = (g["known"][::2] != g["known"][1::2]) & ((g["side"][::2] < 0) | (g["side"][::2] != g["side"][1::2]))
-        data = g["data"].reshape(-1, 2)[own].ravel().tolist()
-        link = pairs(data) if data else np.empty(0, dtype=bool)
-        return {"a": a[own][link], "b": b[own][link]} if link.any() else None
-
-    return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long", run_pairs if pairs else None, 2)
+    return map_runs(members.join(payload, "id").select(*keys, "id", "side", "known", "data"), keys, run, "a long, b long", least=2, prepare=prepare)
 
 
 def _able(members: DataFrame, sketches: DataFrame | None, keys: list[str], may: May | None, tag: str, may_pairs: Pairs | None = None) -> DataFrame:
@@ -164,13 +156,13 @@ def _across(rest: DataFrame, block: int) -> DataFrame:
     return dealt.join(ends, ["bucket", "part"]).select("bucket", "p", "q", "id", "side", "known")
 
 
-def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None, pairs: Pairs | None = None, may_pairs: Pairs | None = None, at_once: bool = False) -> DataFrame:
+def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], compare: Compare, block: int = BLOCK, sketches: DataFrame | None = None, may: May | None = None, prepare: Callable[[list[bytes]], list] | None = None, may_pairs: Pairs | None = None) -> DataFrame:
     """signed(id long, size int, buckets array<long>, repeats allowed) -> (id, component) of ids with at least one link.
 
     Ids link only if the smaller size is at least 0.8 of the larger. payload_of(ids) gives (id, data) of a table of ids, an
     id perhaps more than once. Buckets with the same members are compared once. With sketches (id, sketch) and may(), the
-    data of a member is only fetched where its sketch leaves a link possible. pairs and may_pairs: compare and
-    may for many groups of two. at_once: data is small, so all blocks are compared as a whole without a first round.
+    data of a member is only fetched where its sketch leaves a link possible. prepare: what compare gets of
+    data, made for many members at once. may_pairs: may for many groups of two.
     """
     members = stash(shared(signed), "members")
     mark = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -186,20 +178,20 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
 
     first = chosen.select("bucket", "part", "id", F.lit(-1).alias("side"), F.col("id").alias("known"))
     able = first = _able(first, sketches, ["bucket", "part"], may, "able", may_pairs)
-    if sketches is None or at_once:
-        edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare, pairs), "links")
+    if sketches is None:
+        edges = stash(_edges(first, fetch(first), ["bucket", "part"], compare, prepare), "links")
     else:
         # Most links show when every id is compared in one of its buckets alone, which like ids tend to choose alike. Only
         # blocks that then still hold several components are compared as a whole, so that data is hardly sent twice.
         home = first.groupBy("id").agg(F.min("bucket").alias("bucket"))
         alone = first.join(home, ["id", "bucket"], "left_semi").select(*first.columns)
-        one = stash(_edges(alone, fetch(alone), ["bucket", "part"], compare, pairs), "links")
+        one = stash(_edges(alone, fetch(alone), ["bucket", "part"], compare, prepare), "links")
         found = stash(components(one), "found")
         again = first.drop("known").join(found, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
         apart = again.groupBy("bucket", "part").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
         again = again.join(stash(apart.select("bucket", "part"), "apart"), ["bucket", "part"], "left_semi").select(*first.columns)
         again = _able(again, sketches, ["bucket", "part"], may, "again", may_pairs)
-        edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare, pairs)), "links")
+        edges = stash(one.unionByName(_edges(again, fetch(again), ["bucket", "part"], compare, prepare)), "links")
         discard(one, found, again, able)
     found = components(edges)
     split = chosen.where("blocks > 1")
@@ -215,5 +207,5 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
     discard(chosen, found)
     keys = ["bucket", "p", "q"]
     across = _able(_across(rest, block), sketches, keys, may, "across", may_pairs)
-    more = _edges(across, fetch(across), keys, compare, pairs)
+    more = _edges(across, fetch(across), keys, compare, prepare)
     return components(edges.unionByName(more))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, parts, stash, table, texts
-from .components import Sets, components
+from .components import Labels, components
 from .linking import SENT_KEYS, linked, only
 from .shingles import shingle_set, word_hashes
 
@@ -82,21 +82,19 @@ class Trie:
 def compare_sets(data: list[bytes], side: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
     """Links that join a block's sets; pairs known to be connected are passed over."""
     sets = [np.frombuffer(x, dtype="<u8") for x in data]
-    have = Sets(len(sets))
-    first: dict[int, int] = {}
-    for i, c in enumerate(known.tolist()):
-        have.join(first.setdefault(c, i), i)
+    have, sides = Labels(known), side.tolist()
+    of = have.of
     out = []
     tree = Trie(sets)
     for i, x in enumerate(sets):
-        own = side[i]
+        own = sides[i]
 
         def skip(some: list[int], i: int = i, own: int = own) -> bool:
-            r = have.root(i)
-            return all(have.root(j) == r or own >= 0 and side[j] == own for j in some)
+            r = of[i]
+            return all(of[j] == r or own >= 0 and sides[j] == own for j in some)
 
         for j in tree.near(x, skip):
-            if not (own >= 0 and side[j] == own) and have.join(i, j):
+            if not (own >= 0 and sides[j] == own) and have.join(i, j):
                 out.append((i, j))
     return out
 

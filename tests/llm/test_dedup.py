@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bomscope.llm.components import components
 from bomscope.llm.embedding_dedup import embedding_dedup
 from bomscope.llm.exact_dedup import exact_dedup, salted
-from bomscope.llm.line_dedup import line_dedup, pairs_link
+from bomscope.llm.line_dedup import compare_lines, line_dedup, sets_of
 from bomscope.llm.trie_join import Trie, jaccard_join, may_link, parity
 
 DOCS = "doc_id long, text string, n long, id string, key string, component string"
@@ -159,7 +159,9 @@ def test_pairs_of_lines_are_compared_exactly():
         b = "".join(b)
         data += [a.encode(), b.encode()]
         want.append(5 * len(shingles(a) & shingles(b)) >= 4 * len(shingles(a) | shingles(b)))
-    assert pairs_link(data).tolist() == want and 50 < sum(want) < 350
+    sets = sets_of(data)
+    got = [bool(compare_lines(sets[k : k + 2], np.array([-1, -1]), np.array([0, 1]))) for k in range(0, len(sets), 2)]
+    assert got == want and 50 < sum(want) < 350
 
 
 def test_line_dedup_by_brute_force(spark):
