@@ -3,9 +3,10 @@
 Buckets may be of any size. What is alone in its bucket goes after one shuffle, for which every task sends one of the many
 entries that it holds of a bucket. A bucket is compared in blocks of bounded size. Pairs already known to be connected are
 skipped, so a group of near copies costs about one comparison a member. In the first phase every bucket is dealt into
-blocks at random, independently, and compared inside the blocks; in the second, only buckets that still hold more than
-one component are dealt anew, a large component's members to blocks of their own, and only blocks of different components
-and of sizes that can link meet.
+blocks at random, independently, and compared inside the blocks; in the second, one member of each component of a bucket
+is compared in the same way, until that links no more; in the third, only buckets that still hold more than one component
+are dealt anew, a large component's members to blocks of their own, and only blocks of different components and of sizes
+that can link meet.
 """
 
 from __future__ import annotations
@@ -198,13 +199,28 @@ def linked(signed: DataFrame, payload_of: Callable[[DataFrame], DataFrame], comp
     if split.isEmpty():
         discard(chosen)
         return found
-    found = stash(found, "found")
-    known = split.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("known"))
-    open_ = known.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("bucket")
-    rest = known.join(stash(open_, "open"), "bucket", "left_semi")
+    keys, turn = ["bucket", "part"], 0
+    while True:
+        found = stash(found, "found")
+        known = split.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("known"))
+        open_ = known.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("bucket")
+        rest = stash(known.join(stash(open_, "open"), "bucket", "left_semi"), "rest")
+        # One member of each component first: a block's worth of components becomes one where they are alike, so that what
+        # is left for all members to settle is few components, however many members the bucket has.
+        some = rest.groupBy("bucket", "known").agg(F.min("id").alias("id"))
+        blocks = stash(some.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+        some = some.join(blocks, "bucket").select("bucket", F.pmod(F.xxhash64("id", "bucket", F.lit(turn)), "blocks").cast("int").alias("part"), "id", F.lit(-1).alias("side"), "known")
+        some = stash(_able(some, sketches, keys, may, "some", may_pairs), "some")
+        new = stash(_edges(some, fetch(some), keys, compare, prepare), "links")
+        discard(found, some, blocks)
+        if new.isEmpty():
+            break
+        edges = stash(edges.unionByName(new), "links")
+        found, turn = components(edges), turn + 1
+        discard(rest)
     sizes = signed.select("id", "size").dropDuplicates(["id"])
     rest = stash(rest.join(sizes, "id").select("bucket", "id", "size", "known"), "rest")
-    discard(chosen, found)
+    discard(chosen)
     keys = ["bucket", "p", "q"]
     across = _able(_across(rest, block), sketches, keys, may, "across", may_pairs)
     more = _edges(across, fetch(across), keys, compare, prepare)

@@ -156,7 +156,10 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model:
-    spark = docs.sparkSession
+    """Train on the documents' texts. Null and empty ones have no words, rows that repeat count each time, and of no words at
+    all the model is the untrained net. Averaged weights depend on how the input is split into tasks, as each task improves
+    them in its own order; counts don't."""
+    docs, spark = texts(docs), docs.sparkSession
     counts = stash(word_counts(docs), "words")
     n_ids = size_for(counts.count()) ** 2
     shared = n_ids // SHARE
@@ -246,4 +249,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(texts(docs)))
+    return score(docs, fit(docs))
