@@ -1,7 +1,8 @@
 """Headers against synonyms: exact, else by edit distance, as expressions over literal word lists.
 
 The lists are settings of fixed size, so they travel inside the expression; a table's headers are matched where they
-are, without a join or a shuffle. An exact hit is a map lookup and skips the distances.
+are, without a join or a shuffle. An exact hit skips the distances. Lambdas compute what they are given anew wherever they
+use it, so every value that is used more than once goes through let().
 """
 
 from __future__ import annotations
@@ -40,31 +41,25 @@ def match(norm: Column, synonyms: Mapping[str, list[str]], distance: int, rule,
     The nearest synonym wins, the first listed of equally near ones.
     """
     words = flatten(synonyms, rule)
-    first: dict[str, int] = {}
-    for i, (_, word, _) in enumerate(words):
-        first.setdefault(word, i)
     none = F.struct(F.lit(None).cast("string").alias("category"), F.lit("none").alias("method"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("synonym"))
     if not words:
         return none
-    place = F.map_from_arrays(literal(list(first)), F.transform(literal([str(i) for i in first.values()]), lambda x: x.cast("int")))
-    near = [i for i, (_, w, _) in enumerate(words) if not both_long or len(w) >= FUZZY_LENGTH]
-    listed, at = literal([words[i][1] for i in near]), literal([str(i) for i in near])
-    categories, originals = literal([c for c, _, _ in words]), literal([o for _, _, o in words])
+    first = {w: (c, o) for c, w, o in reversed(words)}  # of a word listed twice the first stays
+    exact, exact_of, exact_said = literal(list(first)), literal([c for c, _ in first.values()]), literal([o for _, o in first.values()])
+    near = [x for x in words if not both_long or len(x[1]) >= FUZZY_LENGTH]
+    listed, near_of, near_said = (literal([x[k] for x in near]) for k in (1, 0, 2))
 
     def nearest(h: Column) -> Column:
         apart = F.transform(listed, lambda w, i: F.struct(F.levenshtein(h, w, distance).alias("d"), i.alias("i")))
-        best = F.array_min(F.filter(apart, lambda x: x["d"] >= 0))
-        best = F.struct(best["d"].alias("d"), F.get(at, best["i"]).cast("int").alias("i"))
-        return F.when((F.length(h) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), best)
+        return F.when((F.length(h) >= FUZZY_LENGTH) & F.lit(distance > 0 and bool(near)), F.array_min(F.filter(apart, lambda x: x["d"] >= 0)))
 
-    def named(hit: Column, method: str) -> Column:
-        found = F.struct(F.get(categories, hit["i"]).alias("category"), F.lit(method).alias("method"), hit["d"].alias("distance"), F.get(originals, hit["i"]).alias("synonym"))
-        return F.when(hit["i"].isNull(), none).otherwise(found)
+    def named(of: Column, said: Column, at: Column, method: str, far: Column) -> Column:
+        return F.struct(F.get(of, at).alias("category"), F.lit(method).alias("method"), far.alias("distance"), F.get(said, at).alias("synonym"))
 
     def found(h: Column) -> Column:
-        exact = F.struct(F.lit(0).alias("d"), F.try_element_at(place, h).alias("i"))
-        fuzzy = let(nearest(h), lambda x: named(x, "fuzzy"))
-        return F.when(h.isNull() | (h == ""), none).otherwise(let(exact, lambda x: F.when(x["i"].isNotNull(), named(x, "exact")).otherwise(fuzzy)))
+        fuzzy = let(nearest(h), lambda x: F.when(x["i"].isNull(), none).otherwise(named(near_of, near_said, x["i"], "fuzzy", x["d"])))
+        hit = let(F.array_position(exact, h), lambda n: F.when(n > 0, named(exact_of, exact_said, (n - 1).cast("int"), "exact", F.lit(0))).otherwise(fuzzy))
+        return F.when(h.isNull() | (h == ""), none).otherwise(hit)
 
     return let(norm, found)
 

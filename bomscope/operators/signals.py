@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import ClassifierConfig, ColumnHeader, Continuity, RowCount, Title, VectorDensity
 from ..functions import text
-from ..functions.matching import page_category
+from ..functions.matching import let, page_category
 
 
 def _java(pattern: str) -> str:
@@ -58,18 +58,19 @@ def vector_density(lines: Column, curves: Column, rects: Column, cfg: VectorDens
 def header_row(row: Column, cfg: ColumnHeader) -> Column:
     """struct(count, categories, headers) of one candidate row: distinct categories, and every header that has one."""
     cells = F.transform(F.coalesce(row, F.array().cast("array<string>")), lambda c: F.struct(page_category(c, cfg.synonyms, cfg.fuzzy_max_distance).alias("category"), c.alias("cell")))
-    known = F.filter(cells, lambda x: x["category"].isNotNull())
-    categories = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["category"])))
-    return F.struct(F.size(categories).alias("count"), categories.alias("categories"), F.transform(known, lambda x: x["cell"]).alias("headers"))
+
+    def counted(known: Column) -> Column:
+        categories = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["category"])))
+        return let(categories, lambda c: F.struct(F.size(c).alias("count"), c.alias("categories"), F.transform(known, lambda x: x["cell"]).alias("headers")))
+
+    return let(F.filter(cells, lambda x: x["category"].isNotNull()), counted)
 
 
 def best_header_row(grid: Column | str, cfg: ColumnHeader) -> Column:
     """struct(count, row, categories, headers) of the better of the first two rows, the first one if they are equal."""
     grid = F.col(grid) if isinstance(grid, str) else grid
-    rows = F.transform(F.slice(grid, 1, 2), lambda r, i: F.struct(header_row(r, cfg).alias("h"), i.alias("row")))
-    ranked = F.transform(rows, lambda x: F.struct(x["h"]["count"].alias("count"), (-x["row"]).alias("up"), x["h"]["categories"].alias("categories"), x["h"]["headers"].alias("headers")))
-    best = F.array_max(ranked)
-    return F.struct(best["count"].alias("count"), (-best["up"]).alias("row"), best["categories"].alias("categories"), best["headers"].alias("headers"))
+    ranked = F.transform(F.slice(grid, 1, 2), lambda r, i: let(header_row(r, cfg), lambda h: F.struct(h["count"].alias("count"), (-i).alias("up"), h["categories"].alias("categories"), h["headers"].alias("headers"))))
+    return let(F.array_max(ranked), lambda best: F.struct(best["count"].alias("count"), (-best["up"]).alias("row"), best["categories"].alias("categories"), best["headers"].alias("headers")))
 
 
 def data_rows(grid: Column | str) -> Column:
