@@ -11,7 +11,7 @@ import corpus_pipeline
 from bomscope.llm import gru
 from bomscope.llm.common import shared_dir, stash
 from bomscope.llm.line_dedup import line_dedup
-from bomscope.llm.linking import linked
+from bomscope.llm.linking import LOCAL, linked, shared
 from bomscope.llm.masked_lm import fit as fit_lm
 from bomscope.llm.masked_lm import score
 from bomscope.llm.toxicity import fit, held_out, toxicity
@@ -162,6 +162,27 @@ def test_line_dedup_finds_what_all_pairs_find(spark):
     assert sum(got[i] != want[i] for i in want) <= 0.001 * len(want)
 
 
+def test_shared_buckets_whatever_the_borders_of_batches(spark):
+    """Buckets across batches and tasks, repeated rows, one bucket that a batch alone shows to be large."""
+    rng = random.Random(6)
+    rows = [(i, 1, [rng.randrange(60) for _ in range(rng.randrange(4))] + [1000 + i]) for i in range(120)]
+    rows += [(i, 1, [7000]) for i in range(500, 500 + 3 * LOCAL)] + rows[:30] + [(900, 1, [8000])] * 3
+    of = {}
+    for i, _, buckets in rows:
+        for b in buckets:
+            of.setdefault(b, set()).add(i)
+    want = {(b, i) for b, ids in of.items() if len(ids) > 1 for i in ids}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size, tasks in ((3, 4), (200, 1)):
+        spark.conf.set(key, size)
+        try:
+            got = shared(spark.createDataFrame(rows, "id long, size int, buckets array<long>").repartition(tasks)).collect()
+        finally:
+            spark.conf.unset(key)
+        extra = {(r.bucket, r.id) for r in got} - want
+        assert want <= {(r.bucket, r.id) for r in got} and not extra
+
+
 def test_a_hot_bucket_is_not_compared_pair_by_pair(spark):
     """5,000 members of one bucket, all but ten of them alike: rows that are compared stay a small multiple of the members."""
     n, odd = 5000, 10
