@@ -25,12 +25,14 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of score 0.3 or more go; null and empty texts stay."""
+    """Rows of score 0.3 or more go; null and empty texts stay, and everything if no label can be learned from. Rows that
+    repeat go or stay together; null ids count as any other. An empty table stays empty."""
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; rows that had lines and have none left go, null and blank texts stay."""
+    """Texts without repeated lines; rows that had lines and have none left go, null and blank texts stay. Rows that repeat
+    a doc_id and its text keep the same lines; null ids give way to others. An empty table stays empty."""
     out = line_dedup.line_dedup(docs)
     before, after = out.columns[-2:]
     kept = out.where((F.col(after) > 0) | (F.col(before) == 0))
@@ -38,19 +40,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; texts without words are in no group."""
+    """The document of the smallest doc_id of each group of near-duplicates stays; texts without words are in no group, rows
+    without a doc_id in none either and stay. Rows that repeat a doc_id are one document and go or stay together, whichever
+    of them is alike to another. An empty table stays empty."""
     groups = trie_join.jaccard_join(docs)
     gone = stash(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     return without(docs, gone, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data becomes <email>, <ip>, <card> or <phone>; every row stays."""
+    """Personal data becomes <email>, <ip>, <card> or <phone>; every row stays, null and empty texts as they are, rows that
+    repeat all alike. Of overlapping spans the first one's kind is written. An empty table stays empty."""
     return _sized(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with sequence_id and offset."""
+    """Pieces of all documents with sequence_id and offset; a null or empty text is one piece, the end id alone. Rows that
+    repeat and rows without a doc_id are packed each for itself. An empty table gives no piece."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
