@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A word that shares its id with words of N tokens, n of them its own, has n / (N + 1) of the id's probability; a word
     that the model's corpus lacks has 1 / (N + 1), for all such words of the id together. A null or empty text has no
     tokens, a sum of 0 and a null mean. Null and repeated doc_ids pass through; other columns are ignored. Rows are
-    known by a 64-bit hash of doc_id and text.
+    known by a 64-bit hash of doc_id and text. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.net, model.hashes, model.ids, np.log(model.shared + 1))))
 
