@@ -135,6 +135,19 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 1, two:
         yield False, whole(held)
 
 
+def prepared(batches: Iterator[pd.DataFrame], prepare: Callable[[list], list], size: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """The same rows with prepare's values of the column data, some size bytes of it at a time: what is made of data may be
+    many times as large."""
+    for pdf in batches:
+        length = np.cumsum([len(x) for x in pdf["data"]])
+        at = 0
+        while at < len(pdf):
+            end = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + size, side="right")))
+            part = pdf.iloc[at:end]
+            yield part.assign(data=pd.Series(prepare(part["data"].tolist()), index=part.index, dtype=object))
+            at = end
+
+
 Columns = dict[str, np.ndarray]
 
 
@@ -150,7 +163,7 @@ def map_runs(df: DataFrame, keys: list[str], fn: Callable[[Columns], Columns | N
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[dict[str, np.ndarray]] = []
         n = 0
-        batches = (pdf.assign(data=pd.Series(prepare(pdf["data"].tolist()), index=pdf.index, dtype=object)) for pdf in batches) if prepare else batches
+        batches = prepared(batches, prepare) if prepare else batches
         for two, group in runs(batches, keys, least, pairs is not None):
             got = pairs(group) if two else fn(group)
             if got is not None:
