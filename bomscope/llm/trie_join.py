@@ -107,11 +107,16 @@ def parity(s: np.ndarray) -> bytes:
 
 
 def may_link(sketches: list[bytes], side: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Members with a partner that sizes and parities allow: each cell in which the parities differ holds an n-gram that
+    """Members with a partner that sizes and parities allow."""
+    return may_pair(sketches, side, known).any(axis=1)
+
+
+def may_pair(sketches: list[bytes], side: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Pairs that sizes and parities allow: each cell in which the parities differ holds an n-gram that
     only one of the two has, and of |x| + |y| no more than a ninth may be such."""
     size = np.array([int(np.frombuffer(x[:8], dtype=np.uint64)[0]) for x in sketches])
     words = np.array([(len(x) - 8) // 8 for x in sketches])
-    own = np.zeros(len(sketches), dtype=bool)
+    own = np.zeros((len(sketches), len(sketches)), dtype=bool)
     cells = {w: np.array([np.frombuffer(sketches[i], dtype=np.uint64, offset=8) for i in np.flatnonzero(words == w)]) for w in np.unique(words).tolist()}
     for w, x in cells.items():
         a = np.flatnonzero(words == w)
@@ -127,8 +132,8 @@ def may_link(sketches: list[bytes], side: np.ndarray, known: np.ndarray) -> np.n
                 ok = (9 * differ <= total) & (5 * np.minimum(size[i][:, None], size[b][None, :]) >= 4 * np.maximum(size[i][:, None], size[b][None, :]))
                 ok &= known[i][:, None] != known[b][None, :]
                 ok &= (side[i][:, None] < 0) | (side[i][:, None] != side[b][None, :])
-                own[i] |= ok.any(axis=1)
-                own[b] |= ok.any(axis=0)
+                own[np.ix_(i, b)] = ok
+                own[np.ix_(b, i)] |= ok.T
     return own
 
 
@@ -224,7 +229,7 @@ def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
 
     signed = all_rows.where("prefix is not null").select("id", F.col("n_shingles").cast("int").alias("size"), F.col("prefix").alias("buckets"))
     sketches = all_rows.where("sketch is not null").select("id", "sketch").dropDuplicates(["id"])
-    found = linked(signed, payload_of, compare_sets, sketches=sketches, may=may_link)
+    found = linked(signed, payload_of, compare_sets, sketches=sketches, may=may_pair)
     of_class = stash(classes.join(found, "id", "left").select("id", "low", F.coalesce("component", "id").alias("component")), "of_class")
     least = of_class.groupBy("component").agg(F.min("low").alias("least"))
     named = of_class.join(least, "component").select("id", "least")
