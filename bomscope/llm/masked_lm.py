@@ -52,51 +52,51 @@ class WindowNet:
         }
 
     @staticmethod
-    def _softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
+    def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of logits (ids, n), in place: their exponentials beside the largest of a column, and the sums of these."""
+        x -= x.max(axis=0)
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return x
+        return x, x.sum(axis=0)
 
     def log_probs(self, around: np.ndarray, target: np.ndarray, learn: dict | None = None) -> np.ndarray:
-        """Log-probabilities of targets in their windows; with learn (squares by weight), one Adagrad step besides."""
-        p, n = self.p, len(target)
-        cls, member = target // self.size, target % self.size
-        order = np.argsort(cls, kind="stable")
-        around, cls, member = around[order], cls[order], member[order]
-        x = p["e"][around].reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        pc = self._softmax(h @ p["c"] + p["cb"])
-        edge = np.searchsorted(cls, np.arange(self.size + 1))
-        pm = np.empty((n, self.size), np.float32)
-        for k in range(self.size):
-            a, b = edge[k], edge[k + 1]
-            if a < b:
-                pm[a:b] = self._softmax(h[a:b] @ p["m"][k] + p["mb"][k])
+        """Log-probabilities of targets in their windows; with learn (squares by weight), one Adagrad step besides.
+
+        Logits stand as (ids, n), so that what goes over the ids of a softmax goes over whole rows; a last column of ones
+        beside the hidden values takes the biases.
+        """
+        p, n, of = self.p, len(target), self.size
+        order = np.argsort((target // of).astype(np.uint16), kind="stable")  # sorted by radix
+        around, cls, member = around[order], target[order] // of, target[order] % of
+        x = p["e"].take(around, axis=0).reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), np.float32)
+        np.tanh(x @ p["w"] + p["b"], out=h[:, :-1])
+        c, m = np.vstack([p["c"], p["cb"]]), np.concatenate([p["m"], p["mb"][:, None, :]], axis=1)
+        edge = np.searchsorted(cls, np.arange(of + 1)).tolist()
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+        pm = np.empty((of, n), np.float32)
+        for k, a, b in spans:
+            pm[:, a:b] = m[k].T @ h[a:b].T
+        (pc, sc), (pm, sm) = self._softmax(c.T @ h.T), self._softmax(pm)
         at = np.arange(n)
         out = np.empty(n)
-        out[order] = np.log(pc[at, cls].astype(np.float64) + 1e-30) + np.log(pm[at, member].astype(np.float64) + 1e-30)
+        pick = lambda q, s, which: np.log((q[which, at] / s).astype(np.float64) + 1e-30)
+        out[order] = pick(pc, sc, cls) + pick(pm, sm, member)
         if learn is None:
             return out
-        pc[at, cls] -= 1
-        pm[at, member] -= 1
-        pc /= n
-        pm /= n
-        g = {"c": h.T @ pc, "cb": pc.sum(axis=0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-        dh = pc @ p["c"].T
-        for k in range(self.size):
-            a, b = edge[k], edge[k + 1]
-            if a < b:
-                g["m"][k], g["mb"][k] = h[a:b].T @ pm[a:b], pm[a:b].sum(axis=0)
-                dh[a:b] += pm[a:b] @ p["m"][k].T
+        pc /= sc * n
+        pm /= sm * n
+        pc[cls, at] -= np.float32(1 / n)
+        pm[member, at] -= np.float32(1 / n)
+        gc, gm = h.T @ pc.T, np.zeros_like(m)
+        dh = pc.T @ p["c"].T
+        for k, a, b in spans:
+            gm[k] = h[a:b].T @ pm[:, a:b].T
+            dh[a:b] += pm[:, a:b].T @ p["m"][k].T
+        h = h[:, :-1]
         dh *= 1 - h * h
-        g["w"], g["b"] = x.T @ dh, dh.sum(axis=0)
-        dx = (dh @ p["w"].T).reshape(-1, DIM)
-        ids = around.ravel()
-        by_id = np.argsort(ids, kind="stable")
-        some, first = np.unique(ids[by_id], return_index=True)
-        g["e"] = np.zeros_like(p["e"])
-        g["e"][some] = np.add.reduceat(dx[by_id], first, axis=0)
+        g = {"c": gc[:-1], "cb": gc[-1], "m": gm[:, :-1], "mb": gm[:, -1], "w": x.T @ dh, "b": dh.sum(axis=0)}
+        dx, ids = (dh @ p["w"].T).reshape(-1, DIM).T, around.ravel()
+        g["e"] = np.stack([np.bincount(ids, d, len(p["e"])) for d in dx], axis=1).astype(np.float32)
         for k, d in g.items():
             learn[k] += d * d
             p[k] -= RATE * d / np.sqrt(learn[k])

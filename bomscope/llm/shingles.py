@@ -9,17 +9,20 @@ import numpy as np
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The base times this is 1 in 64 bits.
+_DIVIDE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = np.ones(1, dtype=np.uint64)
+_powers = np.ones((2, 1), dtype=np.uint64)
 #: Bytes that are hashed at once; a longer text is cut between words.
 CHUNK = 1 << 18
 
 
 def powers(n: int) -> np.ndarray:
+    """Of the base and of its inverse, n at least."""
     global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _BASE)]), dtype=np.uint64)
+    if len(_powers[0]) < n:
+        _powers = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + (n >> 3), x)]), dtype=np.uint64) for x in (_BASE, _DIVIDE)])
     return _powers
 
 
@@ -30,19 +33,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start places of the words between the bytes 9-13 and 32."""
+    """Hashes and start places of the words between the bytes 9-13 and 32: of each the sum of its bytes' values by the
+    powers of their places in it, as a difference of running sums over all bytes, divided by the power of its start."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    word = ~_SPACE[raw]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, dtype=np.uint64), start
-    size = end - start
-    at = np.flatnonzero(word)
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.arange(len(at)) - np.repeat(first, size)
-    value = _BYTE[raw[at]] * powers(int(size.max()))[place]
-    return mix(np.add.reduceat(value, first) ^ size.astype(np.uint64)), start
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    up, down = powers(len(raw))
+    np.multiply(_BYTE.take(raw), up[: len(raw)], out=total[1:])
+    np.cumsum(total, out=total)
+    return mix((total.take(end) - total.take(start)) * down.take(start) ^ (end - start).astype(np.uint64)), start
 
 
 def word_hashes(texts: Sequence[str]) -> Iterator[np.ndarray]:
