@@ -17,6 +17,8 @@ WINDOW, STRIDE = 24, 12
 DIM, HIDDEN, ATTEND = 12, 8, 8
 #: Lengths of character n-grams, and the number of vectors they are hashed to.
 GRAMS = {3: 4096, 5: 32_768}
+#: Characters of texts, and words met for the first time, that are scored at once.
+SOME, SOME_WORDS = 1 << 18, 1 << 13
 _EDGE = ".,;:!?\"'()[]{}<>*_-"
 
 
@@ -230,26 +232,44 @@ def train(texts: list[str], labels: list[int], seed: int = 3, rounds: int = 5, b
 
 class Scorer:
     """Scores of whole texts: the highest probability of all their windows; 0 for a text without words. Remembers the
-    projections of a bounded number of words."""
+    projections of a bounded number of words; works on SOME characters of texts and SOME_WORDS new words at a time, as what
+    is made of them is many times as large."""
 
-    def __init__(self, net: Net, size: int = 120_000) -> None:
+    def __init__(self, net: Net, size: int = 50_000) -> None:
         self.net, self.size = net, size
         self.reset()
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1, 6 * HIDDEN), dtype=np.float32)  # row 0: no word
+        self.chars = 0
+        self.table = np.empty((self.size + 20_000, 6 * HIDDEN), dtype=np.float32)  # memory is taken as rows are written
+        self.table[0] = 0  # no word
+
+    def meet(self, new: list[str]) -> None:
+        base = len(self.known) + 1
+        if base + len(new) > len(self.table):
+            self.table = np.concatenate([self.table[:base], np.empty((len(new), 6 * HIDDEN), dtype=np.float32)])
+        for i in range(0, len(new), SOME_WORDS):
+            some = new[i : i + SOME_WORDS]
+            self.table[base + i : base + i + len(some)] = self.net.project([w.strip(_EDGE) for w in some])
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+        self.chars += sum(map(len, new))
 
     def score(self, texts: Sequence[str], chunk: int = 1024) -> np.ndarray:
-        if len(self.known) > self.size or sum(map(len, self.known)) > 20_000_000:
+        if not len(texts):
+            return np.zeros(0)
+        part = np.cumsum([len(t) for t in texts]) // SOME
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        return np.concatenate([self._score(texts[a:b], chunk) for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)])
+
+    def _score(self, texts: Sequence[str], chunk: int) -> np.ndarray:
+        if len(self.known) > self.size or self.chars > 20_000_000:
             self.reset()
         docs = [tokens(t) for t in texts]
         known = self.known
         new = {w: None for ws in docs for w in ws if w not in known}
         if new:
-            base = len(self.table)
-            known.update((w, base + i) for i, w in enumerate(new))
-            self.table = np.concatenate([self.table, self.net.project([w.strip(_EDGE) for w in new])])
+            self.meet(list(new))
         rows, of = [], []
         out = np.zeros(len(docs))
         for d, ws in enumerate(docs):

@@ -38,7 +38,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
         ids = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long")
         got = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).toPandas()
         sample += [(label, i, t) for i, t in zip(got["doc_id"].tolist(), got["text"], strict=True)]
-    return train([t for _, _, t in sample], [y for y, _, _ in sample])
+    net = train([t for _, _, t in sample], [y for y, _, _ in sample])
+    del sample
+    release()
+    return net
 
 
 def toxicity(docs: DataFrame, net: Net | None, name: str = "score") -> DataFrame:

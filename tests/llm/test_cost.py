@@ -4,9 +4,11 @@ import os
 import subprocess
 import sys
 import time
+import tracemalloc
 
 import numpy as np
 
+from bomscope.llm.gru import WINDOW, Net, Scorer
 from bomscope.llm.masked_lm import DIM, HIDDEN, RATE, SIDE, WindowNet
 from bomscope.llm.shingles import _BASE, _BYTE, mix, word_hashes
 
@@ -110,3 +112,23 @@ def test_word_hashes_are_sums_over_the_bytes_of_each_word():
             data = data.replace(bytes([c]), b" ")
         (got,) = word_hashes([text])
         assert got.tolist() == [by_bytes(w) for w in data.split(b" ") if w]
+
+
+def test_scoring_many_new_words_at_once_takes_bounded_memory():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(10**8, 10**9, 150).tolist())) for _ in range(400)]
+    texts += ["", " \n", "one " * (3 * WINDOW), "x" * 300_000, *texts[:3]]
+    net = Net(["one", "two"])
+    tracemalloc.start()
+    try:
+        scorer = Scorer(net)
+        got = scorer.score(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 45e6
+    small = Scorer(net, 500)  # emptied again and again, and fewer places than one text has words
+    np.testing.assert_allclose(got, [small.score([t])[0] for t in texts], rtol=1e-5, atol=1e-6)
+    many = " ".join(map(str, range(25_000)))
+    np.testing.assert_allclose(small.score([many, texts[0]]), Scorer(net).score([many, texts[0]]), rtol=1e-5, atol=1e-6)
+    assert scorer.score([]).tolist() == [] and got[400] == got[401] == 0
