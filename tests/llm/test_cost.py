@@ -8,6 +8,7 @@ import tracemalloc
 
 import numpy as np
 
+from bomscope.llm.components import components
 from bomscope.llm.gru import WINDOW, Net, Scorer
 from bomscope.llm.masked_lm import DIM, HIDDEN, RATE, SIDE, WindowNet
 from bomscope.llm.shingles import _BASE, _BYTE, mix, word_hashes
@@ -132,3 +133,21 @@ def test_scoring_many_new_words_at_once_takes_bounded_memory():
     many = " ".join(map(str, range(25_000)))
     np.testing.assert_allclose(small.score([many, texts[0]]), Scorer(net).score([many, texts[0]]), rtol=1e-5, atol=1e-6)
     assert scorer.score([]).tolist() == [] and got[400] == got[401] == 0
+
+
+def test_components_of_few_links_are_joined_without_shuffling(spark):
+    """Whatever Spark itself would broadcast."""
+    links = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1100)] + [(-5, 2000), (3000, 3000)]
+    want = {i: 0 for i in range(41)} | {i: 1000 for i in range(1000, 1100)} | {-5: -5, 2000: -5}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(2)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = components(edges)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r.id: r.component for r in got.collect()}
+    finally:
+        spark.conf.set(key, kept)
+    assert found == want
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
