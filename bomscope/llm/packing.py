@@ -16,12 +16,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import discard, map_rows, parts, stash, table, texts
+from .common import discard, local_table, map_rows, parts, stash, table, texts
 from .genetic import Solution, bins, evolve, fitness, load
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -80,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0,
 def _number(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     """rank: 0, 1, ... within each length, without a task that holds all rows of a length."""
     spark = rows.sparkSession
-    salts = spark.createDataFrame([(a, -(-n // GROUP)) for a, n in counts.items()], "length long, salts long")
+    salts = local_table(spark, pa.table({"length": pa.array(list(counts), pa.int64()), "salts": pa.array([-(-n // GROUP) for n in counts.values()], pa.int64())}))
     salted = rows.join(F.broadcast(salts), "length")  # at most one row for each length up to the capacity
     salted = salted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "salts"))
     sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("span", F.expr(f"salt div {SPAN}"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, small_batches, table, texts
+from .common import local_table, map_rows, release, small_batches, table, texts
 from .gru import Net, Scorer, train
 
 #: The sample: rows of each label, and the longest text taken (characters). Scoring has no such bounds.
@@ -35,7 +35,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
     for label, n in ((1, TRAIN_ONES), (0, TRAIN_ZEROS)):
         # Twice as many ids as rows wanted, as some texts are too long or missing.
         ids = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n).select("doc_id")
-        ids = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long")
+        ids = local_table(docs.sparkSession, pa.table({"doc_id": pa.array(ids.toPandas()["doc_id"], pa.int64())}))
         got = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).toPandas()
         sample += [(label, i, t) for i, t in zip(got["doc_id"].tolist(), got["text"], strict=True)]
     net = train([t for _, _, t in sample], [y for y, _, _ in sample])

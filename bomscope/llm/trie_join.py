@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, parts, stash, table, texts
+from .common import local_table, map_rows, parts, stash, table, texts
 from .components import Labels, components
 from .linking import SENT_KEYS, linked, only
 from .shingles import shingle_set, word_hashes
@@ -209,7 +210,7 @@ def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
     if len(twins) > SENT_KEYS:
         raise ValueError("too many sets share a 64-bit hash")
     if twins:
-        again = F.broadcast(spark.createDataFrame([(i, True) for i in twins], "id long, clash boolean"))
+        again = F.broadcast(local_table(spark, pa.table({"id": pa.array(list(twins), pa.int64()), "clash": pa.array([True] * len(twins))})))
         all_rows = all_rows.join(again, "id", "left").withColumn("id", F.when(F.col("clash"), F.col("check")).otherwise(F.col("id"))).drop("clash")
         marked = marks(all_rows)
         classes = stash(marked.groupBy("id").agg(F.min("doc_id").alias("low")), "classes")

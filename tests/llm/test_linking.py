@@ -1,8 +1,11 @@
+import os
 import random
 
 import numpy as np
+import pyspark
 from pyspark.sql import functions as F
 
+from bomscope.llm import linking, packing, toxicity
 from bomscope.llm.common import stash
 from bomscope.llm.line_dedup import BANDS, Line, bands, brief_of, compare_lines, may_link_brief, sets_of
 from bomscope.llm.linking import linked, shared
@@ -62,3 +65,41 @@ def test_what_many_buckets_have_in_common_is_compared_once(spark):
     got = linked(rows, lambda ids: payload.join(ids, "id", "left_semi"), compare, sketches=sketches, may=may).collect()
     assert got == []
     assert 2 <= counted.value <= 4
+
+
+def test_links_are_written_before_they_are_joined(spark, monkeypatch):
+    """A task with two Python operators in a row takes two workers, and they stay: components() reads files."""
+    rng = random.Random(5)
+    lines = [random_line(rng) for _ in range(12)]
+    lines += [x[:60] + "#" + x[61:] for x in lines[:4]]
+    signed = spark.createDataFrame([(i, 1, [7]) for i in range(len(lines))], "id long, size int, buckets array<long>")
+    payload = spark.createDataFrame([(i, x.encode()) for i, x in enumerate(lines)], "id long, data binary")
+    plans, components = [], linking.components
+    monkeypatch.setattr(linking, "components", lambda e: plans.append(e._jdf.queryExecution().executedPlan().toString()) or components(e))
+    found = linked(signed, lambda ids: payload.join(ids, "id", "left_semi"), compare_lines, block=3, prepare=sets_of)
+    assert {(r.id, r.component) for r in found.collect()} == {(i, i % 12) for i in (0, 1, 2, 3, 12, 13, 14, 15)}
+    assert len(plans) > 1 and not any("MapIn" in p for p in plans)
+
+
+def test_small_tables_of_the_driver_need_no_workers_of_another_kind(spark, monkeypatch):
+    """Those of RDDs, which a list that becomes a table is."""
+    texts = [f"good words number {i}" if i % 2 else f"awful nasty thing {i}" for i in range(60)]
+    docs = stash(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    labels = stash(spark.createDataFrame([(i, i % 2 ^ 1) for i in range(60)], "doc_id long, toxic int"), "labels")
+    rows = stash(docs.select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("doc_id") % 3).alias("length"), F.lit(5).cast("long").alias("ids_crc32")), "rows")
+
+    def parallelize(*_args):
+        raise AssertionError
+
+    monkeypatch.setattr(pyspark.SparkContext, "parallelize", parallelize)
+    assert toxicity.fit(docs, labels) is not None and toxicity.fit(docs, labels.where("doc_id < 0")) is None
+    got = sorted((r.length, r.rank) for r in packing._number(rows, {0: 20, 1: 20, 2: 20}).collect())
+    assert got == [(k, i) for k in range(3) for i in range(20)]
+
+
+def test_written_tables_make_one_file_a_task(spark):
+    """And no checksums beside it, for each of which a process would be started too."""
+    out = stash(spark.range(0, 100, 1, 5), "files")
+    assert out.count() == 100
+    names = os.listdir(out._stash_path.removeprefix("file://"))
+    assert sorted(x.rpartition(".")[2] for x in names) == ["_SUCCESS"] + ["parquet"] * 5
