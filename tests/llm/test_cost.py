@@ -8,6 +8,8 @@ import tracemalloc
 
 import numpy as np
 
+from bomscope.llm import components as components_of
+from bomscope.llm import line_dedup
 from bomscope.llm.components import components
 from bomscope.llm.gru import WINDOW, Net, Scorer
 from bomscope.llm.masked_lm import DIM, HIDDEN, RATE, SIDE, WindowNet
@@ -151,3 +153,44 @@ def test_components_of_few_links_are_joined_without_shuffling(spark):
         spark.conf.set(key, kept)
     assert found == want
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """And those of many take rounds, which give the same."""
+    links = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1050)] + [(-5, 2000), (3000, 3000), (2**60, -(2**60))]
+    want = {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1050)} | {-5: -5, 2000: -5, 2**60: -(2**60), -(2**60): -(2**60)}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(3)
+    for most in (components_of.TOGETHER, 0):
+        tags, written = [], components_of.stash
+        monkeypatch.setattr(components_of, "TOGETHER", most)
+        monkeypatch.setattr(components_of, "stash", lambda df, tag, to=written, tags=tags: tags.append(tag) or to(df, tag))
+        assert {r.id: r.component for r in components(edges).collect()} == want
+        assert ("map" in tags) == (most == 0), tags
+        monkeypatch.undo()
+
+
+def test_hashes_of_lines_by_plain_loops_and_at_less_cost():
+    rng = np.random.default_rng(2)
+    words = [chr(c) for c in rng.integers(97, 123, 400)] + ["é", "\U0001f600"]
+    lines = ["".join(rng.choice(words, n)) for n in rng.integers(1, 700, 400)] + ["", "abcd", "abcde", "\ud800x"]
+
+    def plain(lines):
+        h, count = line_dedup.hashed(lines)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        out, some = np.empty((len(lines), line_dedup.BANDS), dtype=np.uint64), np.zeros((len(lines), 64), dtype=np.uint8)
+        for b in range(line_dedup.BANDS):
+            key = np.full(len(lines), np.uint64(b + 1))
+            for r in range(b * line_dedup.ROWS, (b + 1) * line_dedup.ROWS):
+                low = np.minimum.reduceat(h * line_dedup._A[r], first)
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+                some[:, r] = (low * np.uint32(0x9E3779B1)) >> np.uint32(28)
+            out[:, b] = key
+        return out, some[:, ::2] << 4 | some[:, 1::2]
+
+    for got, want in zip(line_dedup.bands(lines), plain(lines), strict=True):
+        assert (got == want).all()
+    assert [tuple(x) for x in line_dedup.ids_of(lines).tolist()] == [line_dedup.line_ids(x) for x in lines]
+    many = lines * 20
+    own, slow = least(lambda: line_dedup.ids_of(many), lambda: [line_dedup.line_ids(x) for x in many])
+    assert own < 0.9 * slow, (own, slow)
