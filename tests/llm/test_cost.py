@@ -7,9 +7,10 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from bomscope.llm import components as components_of
-from bomscope.llm import line_dedup
+from bomscope.llm import line_dedup, linking
 from bomscope.llm.components import components
 from bomscope.llm.gru import WINDOW, Net, Scorer
 from bomscope.llm.masked_lm import DIM, HIDDEN, RATE, SIDE, WindowNet
@@ -194,3 +195,21 @@ def test_hashes_of_lines_by_plain_loops_and_at_less_cost():
     many = lines * 20
     own, slow = least(lambda: line_dedup.ids_of(many), lambda: [line_dedup.line_ids(x) for x in many])
     assert own < 0.9 * slow, (own, slow)
+
+
+def test_briefs_of_pairs_are_those_of_larger_groups_at_less_cost():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 256, (30_000, 3, 13), dtype=np.uint8)
+    x[::5, 1, :11] = x[::5, 0, :11]
+    pairs = np.ascontiguousarray(x[:, :2])
+    want = line_dedup.may_link_brief(x)[:, :2, :2]
+    got = line_dedup.may_link_brief(pairs)
+    assert (got == want).all() and got[::5, 0, 1].sum() > 100 and not got.all()
+    own, slow = least(lambda: line_dedup.may_link_brief(pairs), lambda: line_dedup.may_link_brief(x))
+    assert own < 0.3 * slow, (own, slow)
+
+
+def test_bytes_of_binary_values_are_read_in_place():
+    for kind in (pa.binary(), pa.large_binary()):
+        values = pa.array([b"abcd", b"efgh", b"ijkl", b"mnop"], kind)
+        assert linking._bytes_of(values[1:3]).tobytes() == b"efghijkl" and linking._bytes_of(values).shape == (4, 4)
