@@ -1,4 +1,4 @@
-"""Toxicity scores of documents by the network of gru.py, trained on the driver on a bounded sample of labelled rows."""
+"""Toxicity scores of documents by the network of gru.py, trained by one task on a bounded sample of labelled rows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_table, map_rows, release, small_batches, table, texts
+from .common import give_back, local_table, map_rows, release, small_batches, table, texts
 from .gru import Net, Scorer, train
 
 #: The sample: rows of each label, and the longest text taken (characters). Scoring has no such bounds.
@@ -24,24 +24,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Net | None:
-    """Train on labelled rows that aren't held out, the same ones of each label whatever the partitioning.
+    """Train on labelled rows that aren't held out, the same ones of each label whatever the partitioning. One task trains: the
+    driver gets the ids and the net, no text.
 
     Null labels and labels of no document are passed over; None if a label is missing.
     """
     rows = texts(docs).where(F.length("text") <= TRAIN_CHARS)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample: list[tuple[int, int, str]] = []
+    sample: list[DataFrame] = []
     for label, n in ((1, TRAIN_ONES), (0, TRAIN_ZEROS)):
         # Twice as many ids as rows wanted, as some texts are too long or missing.
         ids = marks.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * n).select("doc_id")
         ids = local_table(docs.sparkSession, pa.table({"doc_id": pa.array(ids.toPandas()["doc_id"], pa.int64())}))
-        got = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(n).toPandas()
-        sample += [(label, i, t) for i, t in zip(got["doc_id"].tolist(), got["text"], strict=True)]
-    net = train([t for _, _, t in sample], [y for y, _, _ in sample])
-    del sample
-    release()
-    return net
+        got = rows.join(F.broadcast(ids), "doc_id").select(F.lit(label).alias("label"), F.xxhash64("doc_id").alias("place"), "doc_id", "text")
+        sample.append(got.orderBy("place", "doc_id", "text").limit(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        got.sort(key=lambda x: (-x[0], x[1], x[2], x[3].encode("utf-8", "surrogatepass")))
+        net = train([x[3] for x in got], [x[0] for x in got])
+        del got
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+        del net
+        release()
+
+    # At most TRAIN_ONES + TRAIN_ZEROS rows.
+    back = sample[0].unionByName(sample[1]).coalesce(1).mapInArrow(run, "net binary").collect()
+    give_back(docs.sparkSession)
+    return pickle.loads(back[0].net) if back else None
 
 
 def toxicity(docs: DataFrame, net: Net | None, name: str = "score") -> DataFrame:

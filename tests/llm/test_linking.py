@@ -5,7 +5,7 @@ import numpy as np
 import pyspark
 from pyspark.sql import functions as F
 
-from bomscope.llm import linking, packing, toxicity
+from bomscope.llm import common, linking, packing, toxicity
 from bomscope.llm.common import stash
 from bomscope.llm.line_dedup import BANDS, Line, bands, brief_of, compare_lines, may_link_brief, sets_of
 from bomscope.llm.linking import linked, shared
@@ -103,3 +103,30 @@ def test_written_tables_make_one_file_a_task(spark):
     assert out.count() == 100
     names = os.listdir(out._stash_path.removeprefix("file://"))
     assert sorted(x.rpartition(".")[2] for x in names) == ["_SUCCESS"] + ["parquet"] * 5
+
+
+def test_the_driver_holds_no_texts_to_learn_from(spark, monkeypatch):
+    """A task trains on the sample, in the order of its ids, ones first; rows that repeat an id by their text."""
+    texts = {i: f"{'awful' if i % 2 == 0 else 'good'} text {i}" for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), (8, "another"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 ^ 1) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_ONES", 9)
+    monkeypatch.setattr(toxicity, "train", lambda texts, ys: (os.getpid(), texts, ys))
+    pid, got, ys = toxicity.fit(docs.repartition(5), labels)
+    assert pid != os.getpid()
+    kept = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.xxhash64("doc_id").alias("place")).collect()
+    by_place = [r.doc_id for r in sorted(kept, key=lambda r: r.place)]
+    said = lambda i: sorted([texts[i], *(["another"] if i == 8 else []), *([""] if i == 7 else [])])
+    ones, zeros = ([t for i in by_place if i % 2 == k for t in said(i)] for k in (0, 1))
+    assert (got, ys) == (ones[:9] + zeros, [1] * 9 + [0] * len(zeros))
+
+
+def test_memory_that_the_driver_has_freed_goes_back(spark, monkeypatch):
+    """Tables are discarded again and again; what compilers and buffers took meanwhile is not kept."""
+    calls, give_back = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda spark: calls.append(give_back(spark)))
+    common.discard(stash(spark.range(3), "gone"))
+    version = spark._jvm.java.lang.Runtime.version()
+    assert calls == [(version.feature(), version.interim(), version.update()) >= (17, 0, 9)]
+    common.discard(None)
+    assert len(calls) == 1
